@@ -1,0 +1,129 @@
+"""Byte spans of markup elements, attributes, decoded text and splices.
+
+The one kernel that needs Python: a part is scanned once by expat, and everything
+else is offsets into its own bytes, which are never built anew.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+from xml.parsers import expat
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class MarkupError(ValueError):
+    """The part is not well-formed, or has a document type."""
+
+
+class Span(NamedTuple):
+    name: str
+    start: int
+    tag_end: int
+    end: int
+    depth: int
+    self_closing: bool
+
+
+class Attribute(NamedTuple):
+    name: bytes
+    value: bytes
+    start: int
+    end: int
+
+
+_TAG_END = re.compile(rb"""<(?:[^"'>]|"[^"]*"|'[^']*')*>""")
+_ATTRIBUTE = re.compile(rb"""\s+([^\s=/>]+)\s*=\s*("[^"]*"|'[^']*')""")
+_REFERENCE = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);|&")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def spans(data: bytes) -> list[Span]:
+    """Every element, by start and, of equals, the longer first."""
+    out, open_ = [], []
+    parser = expat.ParserCreate(namespace_separator="}")
+
+    def begin(name, _):
+        at = parser.CurrentByteIndex
+        tag = _TAG_END.match(data, at)
+        if tag is None:
+            raise MarkupError(f"no tag at {at}")
+        open_.append((f"{{{name}" if "}" in name else name, at, tag.end(), tag[0].endswith(b"/>")))
+
+    def finish(_):
+        name, start, tag_end, alone = open_.pop()
+        at = parser.CurrentByteIndex
+        end = tag_end if alone else data.index(b">", at) + 1
+        out.append(Span(name, start, tag_end, end, len(open_), alone))
+
+    def refuse(*_):
+        raise MarkupError("document type declarations are refused")
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = begin, finish, refuse
+    try:
+        parser.Parse(data, True)
+    except expat.ExpatError as bad:
+        raise MarkupError(str(bad)) from None
+    return sorted(out, key=lambda s: (s.start, -s.end))
+
+
+def attributes(tag: bytes) -> list[Attribute]:
+    """Attributes of a start tag, raw; each from the space before it to its closing quote."""
+    return [Attribute(m[1], m[2][1:-1], m.start(), m.end()) for m in _ATTRIBUTE.finditer(tag)]
+
+
+def splice(data: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
+    """Replacements at offsets of the original bytes; overlaps are refused."""
+    out, at = [], 0
+    for start, end, new in sorted(edits, key=lambda e: e[:2]):
+        if start < at or end < start or end > len(data):
+            raise MarkupError(f"splice {start}:{end} overlaps or is out of bounds")
+        out += [data[at:start], new]
+        at = end
+    return b"".join([*out, data[at:]])
+
+
+def decode_text(raw: bytes) -> str:
+    """Character data with references and CDATA sections resolved; what XML does not allow is refused."""
+    def one(text: str) -> str:
+        def of(m):
+            body = m[1]
+            if body is None:
+                raise MarkupError("a reference without an end")
+            if body[0] == "#":
+                code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
+                if not (code in (9, 10, 13) or 0x20 <= code <= 0xD7FF or 0xE000 <= code <= 0xFFFD or 0x10000 <= code <= 0x10FFFF):
+                    raise MarkupError(f"code point {code} is not allowed")
+                return chr(code)
+            if body not in _NAMED:
+                raise MarkupError(f"unknown entity {body}")
+            return _NAMED[body]
+
+        return _REFERENCE.sub(of, text)
+
+    parts = re.split(r"<!\[CDATA\[(.*?)\]\]>", raw.decode("utf-8"), flags=re.S)
+    return "".join(p if k % 2 else one(p) for k, p in enumerate(parts))
+
+
+_SPANS = pa.schema([("doc", pa.string()), ("part", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("tag_end", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("self_closing", pa.bool_()), ("reason", pa.string())])
+
+
+def span_rows(parts: DataFrame) -> DataFrame:
+    """doc, part, then a row an element; a part that is refused gives one row with a reason."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, part, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "part", "data")), strict=True):
+                try:
+                    rows += [s._asdict() | {"doc": doc, "part": part} for s in spans(data or b"")]
+                except MarkupError as bad:
+                    rows.append({"doc": doc, "part": part, "reason": str(bad)})
+            yield pa.RecordBatch.from_pylist(rows, _SPANS)
+
+    source = parts.select(F.col("doc").cast("string"), "part", F.col("data").cast("binary").alias("data"))
+    return source.mapInArrow(run, "doc string, part string, name string, start int, tag_end int, end int, depth int, self_closing boolean, reason string")
