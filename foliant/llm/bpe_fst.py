@@ -51,7 +51,7 @@ def merge_by_rank(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 class Transducer:
     """Merges as a transducer; states and arcs up to ``most``, then made anew."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 1_000_000):
         self.ranks, self.most = ranks, most
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
@@ -73,7 +73,7 @@ class Transducer:
 
     def _may_follow(self, left: int, right: int) -> bool:
         if (known := self._follows.get((left, right))) is None:
-            if len(self._follows) > 4 * self.most:
+            if len(self._follows) > self.most:
                 self._follows.clear()
             known = self._follows[left, right] = merge_by_rank(self.ranks, self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
@@ -183,7 +183,7 @@ class Codec:
     """Whole texts: pieces by the pattern, each through the transducer.  The ids of
     space-delimited units are kept in a memo of two generations of ``most`` units."""
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
+    def __init__(self, path: str, pattern: str, most: int = 500_000):
         import regex
 
         self.transducer = Transducer(read_ranks(path))
