@@ -16,11 +16,16 @@ Two texts agree in a coordinate with the probability of their similarity.
 Candidates.  240 coordinates make 40 bands of 6: a pair of similarity 0.8 misses
 all with probability 5e-6, one of 0.85 with 1e-8.  Exact copies are one class from
 the start; only one of them goes on.  In a bucket, the text that shares the most
-buckets leads: the bucket's others are compared with it, not with each other.  As
-1 - similarity is a metric, only texts that were not linked to the leader can have
-links of their own that matter, and of these only pairs whose distances to the
-leader differ by at most 0.2; those pairs are compared next.  So no pair that
-shares a bucket and could join two classes is left out.  Every comparison is exact.
+leads: the bucket's others are compared with it, not with each other.  Texts linked
+to the leader are in its class.  Two others, one of them apart from the leader, can
+be linked in two ways only.  Either they share shingles beyond the leader's (more of
+them than it has), as many as sizes and common parts leave lacking: such pairs come
+from an index of leaders and shared shingles, in which a text takes part only with
+as many shared entries as any link of it lacks.  Or one is smaller than the leader,
+and sizes and common parts leave room for a link as they are: such pairs are few.  (A text apart from the
+leader has less than 4/9 of both sizes in common with it; what it has in common with
+a text at least as large as the leader must exceed that.)  Every comparison is exact,
+so no pair that shares a bucket and could join two classes is left out.
 
 Result: doc_id, class_id (least doc_id of its class), class_size, copy_of (least
 doc_id with the same words).  Null text counts as empty; all empty texts are
@@ -195,54 +200,104 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, own = None, None
     for batch in batches:
-        out = []
-        for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+        rows = []
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
             if x != last:  # rows come sorted by a
                 last, own = x, shingles(x)
-            out.append(similarity(own, shingles(y)))
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "sim"])
+            other = shingles(y)
+            n_a, n_b = int(own[1].sum()), int(other[1].sum())
+            _, at_a, at_b = np.intersect1d(own[0], other[0], assume_unique=True, return_indices=True)
+            common = int(np.minimum(own[1][at_a], other[1][at_b]).sum())
+            more = other[1].copy()
+            more[at_b] = np.maximum(other[1][at_b] - own[1][at_a], 0)
+            # an element as often as b has it beyond a, each time under a name of its own
+            times = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+            with np.errstate(over="ignore"):
+                beyond = _mix(np.repeat(other[0], more) + times.astype(np.uint64) * _M)
+            rows.append((a, b, common / max(1, n_a + n_b - common), n_a, n_b, common, beyond.view(np.int64)))
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _MET.types, strict=True)] if rows else [pa.array([], t) for t in _MET.types], schema=_MET)
+
+
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("common", pa.int64()), ("beyond", pa.list_(pa.int64()))])
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, sim: the exact similarity of the pairs' texts."""
+    """a, b, their exact similarity, sizes, common part, and what b has beyond a."""
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, sim double")
+    joined = pairs.join(of("b"), "b").join(of("a"), "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
+    return joined.mapInArrow(_compare, "a long, b long, sim double, n_a long, n_b long, common long, beyond array<long>")
+
+
+#: A link needs a common part of this share of both sizes together.
+_SHARE = THRESHOLD / (1 + THRESHOLD)
+_STEP = 1.03  # between bins of sizes
+
+
+def _led(buckets: DataFrame) -> DataFrame:
+    """key, leader, doc_id of a bucket's others; the member that shares most leads."""
+    fame = buckets.join(buckets.groupBy("key").count(), "key").groupBy("doc_id").agg(F.sum("count").alias("fame"))
+    top = buckets.join(fame, "doc_id").groupBy("key").agg(F.max(F.struct("fame", (-F.col("doc_id")).alias("less"))).alias("top"))
+    return buckets.join(top.select("key", (-F.col("top.less")).alias("leader")), "key").where("doc_id <> leader").select("key", "leader", "doc_id")
+
+
+def _smaller(rows: DataFrame) -> DataFrame:
+    """Pairs under one leader that could be linked without sharing anything beyond it:
+    one is apart from the leader and the other is smaller than the leader."""
+    bin_of = lambda n: F.floor(F.log(n) / float(np.log(_STEP))).cast("int")
+    most = F.least(F.col("n_a") - 1, F.floor(F.col("common") / _SHARE + 1e-6) - F.col("n_b"))
+    left = rows.where("apart").withColumn("least", F.floor(THRESHOLD * F.col("n_b"))).withColumn("most", most).where("most >= least and least > 0")
+    left = left.select("a", *(F.col(c).alias(f"{c}_x") for c in ("b", "sim", "n_b", "common", "root")), "least", "most", F.explode(F.sequence(bin_of("least"), bin_of("most"))).alias("bin"))
+    right = rows.where("n_b < n_a").select("a", *(F.col(c).alias(f"{c}_y") for c in ("b", "sim", "n_b", "common", "root", "apart")), F.col("n_a").alias("n_lead"), bin_of("n_b").alias("bin"))
+    pair = left.join(right, ["a", "bin"]).where(
+        (F.col("root_x") != F.col("root_y"))
+        & F.col("n_b_y").between(F.col("least"), F.col("most"))
+        & (F.least("common_x", "common_y") >= _SHARE * (F.col("n_b_x") + F.col("n_b_y")) - 1e-6)
+        & (F.abs(F.col("sim_x") - F.col("sim_y")) <= 1 - THRESHOLD + 1e-6)
+        & (~F.col("apart_y") | ((F.col("n_b_x") < F.col("n_lead")) & (F.col("b_x") < F.col("b_y"))))
+    )
+    return pair.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+
+
+def _beyond(rows: DataFrame) -> DataFrame:
+    """Pairs under one leader that share as much beyond it as a link of them lacks."""
+    lacks = F.ceil(_SHARE * (F.col("n_b") + F.least("n_a", F.floor(THRESHOLD * F.col("n_b")))) - F.col("common") - 1e-6)
+    each = rows.select("a", "b", "sim", "n_b", "common", "root", "apart", F.greatest(F.lit(1), lacks).alias("need"), F.explode("beyond").alias("e")).withColumn("key", F.xxhash64("a", "e")).drop("e")
+    keys = each.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("apart").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).where("any and low <> high")
+    shared = staged(each.join(keys.select("key"), "key"), "beyond")
+    # k: how much of what a text has beyond the leader any other has too
+    shared = shared.join(shared.groupBy("a", "b").agg(F.count("*").alias("k")), ["a", "b"]).where("not apart or k >= need")
+    x = shared.where("apart").select("key", *(F.col(c).alias(f"{c}_x") for c in ("a", "b", "sim", "n_b", "common", "root", "k")))
+    y = shared.select("key", *(F.col(c).alias(f"{c}_y") for c in ("b", "sim", "n_b", "common", "root", "k")))
+    lacking = _SHARE * (F.col("n_b_x") + F.col("n_b_y")) - F.least("common_x", "common_y") - 1e-6
+    pair = x.join(y, "key").where((F.col("root_x") != F.col("root_y")) & (F.abs(F.col("sim_x") - F.col("sim_y")) <= 1 - THRESHOLD + 1e-6) & (F.least("k_x", "k_y") >= lacking))
+    counted = pair.groupBy("a_x", "b_x", "b_y").agg(F.count("*").alias("k"), F.first(lacking).alias("lacking")).where("k >= lacking")
+    return counted.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
 def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, sim of linked texts: enough of them to join every class.
+    """a, b of linked texts: enough of them to join every class.
 
     reps: doc_id and its bands, one row for each different text.
     """
-    rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").count().where("count > 1")
-    shared = staged(rows.join(sizes, "band"), "buckets")
-    fame = shared.groupBy("doc_id").agg(F.sum("count").alias("fame"))
-    famed = shared.join(fame, "doc_id")
-    leaders = famed.groupBy("band").agg(F.max(F.struct("fame", (-F.col("doc_id")).alias("less"))).alias("top")).select("band", (-F.col("top.less")).alias("leader"))
-    led = shared.select("band", "doc_id").join(leaders, "band").where("doc_id <> leader")
+    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    buckets = staged(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key"), "buckets")
     # only texts that share a bucket are compared: the rest does not move again
-    texts = staged(texts.join(fame, "doc_id", "left_semi"), "candidates")
-    near = staged(compared(led.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), texts), "led")
-    found = near.where(F.col("sim") >= THRESHOLD)
-    # what is still apart from its leader, and what it could be linked to all the same
-    apart = led.join(near.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "sim"), ["leader", "doc_id"])
-    # a text linked to one leader of a bucket need not meet the bucket's others again by way of it
+    texts = staged(texts.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
+    led = _led(buckets).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    met = staged(compared(led, texts), "met")
+    linked = lambda met: met.where(F.col("sim") >= THRESHOLD).select("a", "b")
+    rooted = _rooted(met, linked(met))
+    others = _smaller(rooted).unionAll(_beyond(rooted)).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
+    return linked(met).unionAll(linked(compared(others, texts)))
+
+
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the class of b so far, and whether b is apart from its leader a."""
     roots = components(found)
-    rooted = apart.join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rooted = rooted.join(roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("leader_root", F.coalesce("leader_root", "leader"))
-    rooted = staged(rooted.select("band", "doc_id", "sim", "root", (F.col("root") != F.col("leader_root")).alias("apart")), "rooted")
-    left, right = (rooted.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "sim", "root", "apart"))) for side in "ab")
-    more = (
-        left.where("apart_a")
-        .join(right, "band")
-        .where("root_a <> root_b and abs(sim_a - sim_b) <= 0.2000001")
-        .where("not apart_b or doc_id_a < doc_id_b")
-        .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
-        .distinct()
-        .join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    return found.unionByName(compared(more, texts).where(F.col("sim") >= THRESHOLD))
+    with_b = rows.join(roots.select(F.col("id").alias("b"), "root"), "b", "left")
+    with_a = with_b.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
+    root, root_a = F.coalesce("root", "b"), F.coalesce("root_a", "a")
+    return staged(with_a.withColumn("apart", root != root_a).withColumn("root", root).drop("root_a"), "rooted")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
