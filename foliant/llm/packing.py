@@ -185,12 +185,12 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _cut(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(vocabulary, True).encode, TaskContext.get().partitionId(), Counter()
+        encode_all, task, seen = encoder(vocabulary, True).encode_all, TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = encode(text) + end
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text").to_pylist()), strict=True):
+                raw += end
                 n, at = len(raw) // 4, 0
                 for piece in range(-(-n // capacity)):
                     length = n - at if n - at <= capacity else (n % capacity or capacity) if piece == 0 else capacity

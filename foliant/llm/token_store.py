@@ -27,6 +27,7 @@ Columns other than the two named are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,7 +36,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import id_and_text, new_path, parallelism, small_batches, staged
@@ -78,6 +79,10 @@ def address(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
+def split_addresses(joined: bytes) -> list[bytes]:
+    return [joined[k : k + 16] for k in range(0, len(joined), 16)]
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary tree over addresses; an odd node moves up as it is."""
     level = leaves or [address(b"")]
@@ -122,9 +127,9 @@ class Layout:
         return f"<u{self.width}"
 
 
-_STAGED = "doc_id long, rid long, n_tokens long, addrs array<binary>, lens array<int>, data binary"
-_PACKED = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs array<binary>, lens array<int>, held array<int>, data binary, root binary"
-_READ = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs array<binary>, lens array<int>, crcs array<long>, root binary"
+_STAGED = "doc_id long, rid long, n_tokens long, addrs binary, lens binary, data binary"
+_PACKED = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, held array<int>, data binary, root binary"
+_READ = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, crcs array<long>, root binary"
 
 
 def _types(ddl: str) -> pa.Schema:
@@ -134,16 +139,16 @@ def _types(ddl: str) -> pa.Schema:
 
 def _encode(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, schema = encoder(layout.vocabulary, layout.keeps_space).encode, np.uint32(layout.end_id), _types(_STAGED)
+        encode_all, end, schema = encoder(layout.vocabulary, layout.keeps_space).encode_all, np.array([layout.end_id], "<u4").tobytes(), _types(_STAGED)
         for batch in batches:
             n_tokens, addrs, lens, data = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.append(np.frombuffer(encode(text), "<u4"), end)
+            for encoded in encode_all(batch.column("text").to_pylist()):
+                ids = np.frombuffer(encoded + end, "<u4")
                 raw, ends = ids.astype(layout.dtype).tobytes(), cuts(ids)
                 starts = [0, *ends[:-1]]
                 n_tokens.append(len(ids))
-                addrs.append([address(raw[a * layout.width : b * layout.width]) for a, b in zip(starts, ends, strict=True)])
-                lens.append([b - a for a, b in zip(starts, ends, strict=True)])
+                addrs.append(b"".join([address(raw[a * layout.width : b * layout.width]) for a, b in zip(starts, ends, strict=True)]))
+                lens.append(array("H", [b - a for a, b in zip(starts, ends, strict=True)]).tobytes())
                 data.append(raw)
             yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), *(pa.array(x, k) for x, k in zip((n_tokens, addrs, lens, data), schema.types[2:], strict=True))], schema=schema)
 
@@ -164,12 +169,12 @@ def _pack(layout: Layout):
                     continue
                 skip = elsewhere if owner == row["rid"] else frozenset()
                 held, data, at = [], [], 0
-                for k, n in enumerate(row["lens"]):
+                for k, n in enumerate(array("H", row["lens"])):
                     if k not in skip:
                         held.append(k)
                         data.append(row["data"][at * layout.width : (at + n) * layout.width])
                     at += n
-                rows.append({k: row[k] for k in ("doc_id", "rid", "n_tokens", "addrs", "lens")} | {"pack": pack, "seq": seq, "local_start": start, "held": held, "data": b"".join(data), "root": merkle(row["addrs"])})
+                rows.append({k: row[k] for k in ("doc_id", "rid", "n_tokens", "addrs", "lens")} | {"pack": pack, "seq": seq, "local_start": start, "held": held, "data": b"".join(data), "root": merkle(split_addresses(row["addrs"]))})
                 seq, start = seq + 1, start + row["n_tokens"]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -184,15 +189,17 @@ def _check_held(layout: Layout):
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                if merkle(row["addrs"]) != row["root"]:
+                addrs, lens = split_addresses(row["addrs"]), array("H", row["lens"])
+                if merkle(addrs) != row["root"]:
                     raise ValueError(f"document {row['doc_id']}: its recipe does not match its root")
-                crcs, at = [None] * len(row["addrs"]), 0
+                crcs, at, data = [None] * len(addrs), 0, row["data"]
+                wide = np.frombuffer(data, layout.dtype).astype("<u4").tobytes()
                 for k in row["held"]:
-                    raw = row["data"][at : at + row["lens"][k] * layout.width]
-                    at += len(raw)
-                    if address(raw) != row["addrs"][k]:
+                    end = at + lens[k]
+                    if address(data[at * layout.width : end * layout.width]) != addrs[k]:
                         raise ValueError(f"document {row['doc_id']}: chunk {k} does not match its address")
-                    crcs[k] = zlib.crc32(np.frombuffer(raw, layout.dtype).astype("<u4").tobytes())
+                    crcs[k] = zlib.crc32(wide[4 * at : 4 * end])
+                    at = end
                 rows.append({k: row[k] for k in schema.names if k != "crcs"} | {"crcs": crcs})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -205,10 +212,15 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, lens, rest in zip(*(batch.column(k).to_pylist() for k in ("crcs", "lens", "rest")), strict=True):
             for x in rest or ():
                 own[x["pos"]] = x["crc"]
-            crcs.append(crc32_joined([(c, 4 * n) for c, n in zip(own, lens, strict=True)]))
+            crcs.append(crc32_joined([(c, 4 * n) for c, n in zip(own, array("H", lens), strict=True)]))
         yield pa.record_batch([*(batch.column(k) for k in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64()), batch.column("n_chunks"), batch.column("n_elsewhere")], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "n_elsewhere"])
 
 
+def _recipe(addrs: str = "addrs") -> Column:
+    """The array of addresses in their joined form."""
+    return F.transform(F.sequence(F.lit(0), F.expr(f"cast(length({addrs}) / 16 as int) - 1")), lambda k: F.substring(F.col(addrs), k * 16 + 1, F.lit(16)))
+
+
 def write_store(docs: DataFrame, layout: Layout, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode ``docs`` and write the store; returns its path."""
     spark = docs.sparkSession
@@ -216,7 +228,7 @@ def write_store(docs: DataFrame, layout: Layout, path: str | None = None, id_col
     path = path or new_path(spark, "token-store")
     source = id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
     streams = staged(source.mapInArrow(_encode(layout), _STAGED), "token-streams")
-    refs = streams.select("doc_id", "rid", F.posexplode("addrs").alias("pos", "addr"))
+    refs = streams.select("doc_id", "rid", F.posexplode(_recipe()).alias("pos", "addr"))
     first = refs.groupBy("addr").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     others = (
         refs.join(first, "addr")
@@ -269,7 +281,7 @@ def read_store(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     another document holds."""
     small_batches(spark)
     read = staged(packs_of(spark, path).mapInArrow(_check_held(layout), _READ), "store-read")
-    chunks = read.select("rid", F.posexplode(F.arrays_zip("addrs", "crcs")).alias("pos", "x")).select("rid", "pos", "x.addrs", "x.crcs")
+    chunks = read.select("rid", F.posexplode(F.arrays_zip(_recipe().alias("addrs"), "crcs")).alias("pos", "x")).select("rid", "pos", "x.addrs", "x.crcs")
     known = chunks.where("crcs is not null").select("addrs", F.col("crcs").alias("crc"))
     rest = chunks.where("crcs is null").join(known, "addrs").groupBy("rid").agg(F.collect_list(F.struct("pos", "crc")).alias("rest"))
     before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
@@ -279,7 +291,7 @@ def read_store(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
         read.drop("addrs", "root")
         .join(offsets, "pack")
         .join(rest, "rid", "left")
-        .select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "crcs", "lens", "rest", F.size("lens").alias("n_chunks"), F.greatest(F.size("rest"), F.lit(0)).alias("n_elsewhere"))
+        .select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "crcs", "lens", "rest", F.size("crcs").alias("n_chunks"), F.greatest(F.size("rest"), F.lit(0)).alias("n_elsewhere"))
         .mapInArrow(_fold, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, n_elsewhere int")
     )
 
@@ -294,13 +306,13 @@ def read_ids(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
             for row in batch.to_pylist():
                 at = 0
                 for k in row["held"]:
-                    n = row["lens"][k] * layout.width
-                    rows.append({"addr": row["addrs"][k], "piece": row["data"][at : at + n]})
+                    n = array("H", row["lens"])[k] * layout.width
+                    rows.append({"addr": row["addrs"][16 * k : 16 * k + 16], "piece": row["data"][at : at + n]})
                     at += n
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("addr", pa.binary()), ("piece", pa.binary())]))
 
     chunks = packs.mapInArrow(pieces, "addr binary, piece binary")
-    recipe = packs.select("doc_id", "rid", F.posexplode("addrs").alias("pos", "addr"))
+    recipe = packs.select("doc_id", "rid", F.posexplode(_recipe()).alias("pos", "addr"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"])
     joined = recipe.join(chunks, "addr").groupBy("doc_id", "rid").agg(F.aggregate(in_order, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("raw"))
 

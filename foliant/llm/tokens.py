@@ -13,20 +13,24 @@ import re
 from array import array
 from functools import cache
 
+import numpy as np
+
 _BY_ITSELF = re.compile(r"^\s|\s$|\s\s")
 _MARKS = ".,;:!?"
 
 
 class UnitEncoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit integers.
+    """``encode_all(texts)``: the ids of each as little-endian unsigned 32-bit integers.
 
     keeps_space: the tokenizer joins a leading space to the word that follows;
     then texts with white space at an end or twice in a row are encoded whole.
     A unit of letters and one closing mark is put together from the two, which
-    every pattern in use splits there.
+    every pattern in use splits there.  Units of letters that are not known yet are
+    encoded a few hundred at a time, in one text, and told apart by the tokens that
+    begin (or end) a word.  The memo has two generations of up to ``most`` units.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,51 +40,80 @@ class UnitEncoder:
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._marks = dict(zip(_MARKS, self._ask(list(_MARKS)), strict=True))
+        tokens = [self._tokenizer.id_to_token(k) or "" for k in range(self._tokenizer.get_vocab_size())]
+        self._edge = np.array([t.startswith("\u0120") if keeps_space else t.endswith("</w>") for t in tokens])
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_words(self, words: list[str], at_once: int = 200) -> list[bytes]:
+        """Units of letters, each with its leading space if that is kept."""
+        lead = " " if self._keeps_space else ""
+        parts = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        out = []
+        for part, raw in zip(parts, self._ask([lead + " ".join(p) for p in parts]), strict=True):
+            edges = np.flatnonzero(self._edge[np.frombuffer(raw, "<u4")])
+            starts = edges if self._keeps_space else np.concatenate([[0], edges[:-1] + 1])
+            if len(edges) == len(part) and starts[0] == 0 and (self._keeps_space or edges[-1] == len(raw) // 4 - 1):
+                ends = [*(4 * starts[1:]).tolist(), len(raw)]
+                out += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+            else:
+                out += self._ask([lead + w for w in part])
+        return out
+
+    def _is_word(self, unit: str) -> bool:
+        return unit.isalpha() and (unit.isascii() or unit.lower().isalpha())
+
     def _learn(self, units: set[str]) -> None:
-        if len(self._memo) + len(units) > self._most:
-            self._older, self._memo = self._memo, {}
-        memo, older, ask, marked = self._memo, self._older, set(), []
-        for unit in units:
-            if unit in memo:
-                continue
+        memo = self._memo
+        new = [u for u in units if u not in memo]
+        if len(memo) + len(new) > self._most:
+            self._older, self._memo = memo, {}
+            memo, new = self._memo, list(units)
+        older, words, rest, marked = self._older, set(), [], []
+        for unit in new:
             if (known := older.get(unit)) is not None:
                 memo[unit] = known
-            elif unit[-1:] in _MARKS and unit[:-1].isalpha():
+            elif self._is_word(unit):
+                words.add(unit)
+            elif unit[-1:] in _MARKS and self._is_word(unit[:-1]):
                 marked.append(unit)
                 if unit[:-1] not in memo:
-                    ask.add(unit[:-1])
+                    words.add(unit[:-1])
             else:
-                ask.add(unit)
-        if ask:
-            asked = list(ask)
-            lead = " " if self._keeps_space else ""
-            memo.update(zip(asked, self._ask([lead + u for u in asked]), strict=True))
+                rest.append(unit)
+        words = list(words)
+        memo.update(zip(words, self._ask_words(words), strict=True))
+        lead = " " if self._keeps_space else ""
+        memo.update(zip(rest, self._ask([lead + u for u in rest]), strict=True))
         for unit in marked:
             memo[unit] = memo[unit[:-1]] + self._marks[unit[-1]]
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        heads, units, seen, alone = [], [], set(), []
+        for text in texts:
+            head, rest = b"", []
+            if self._keeps_space and _BY_ITSELF.search(text):
+                alone.append(len(heads))
+            elif self._keeps_space:
+                first, space, after = text.partition(" ")
+                head, rest = first, after.split(" ") if space else []
+            else:
+                rest = text.split(" ")
+            heads.append(head)
+            units.append(rest)
+            seen.update(rest)
+        self._learn(seen)
+        get = self._memo.__getitem__
         if self._keeps_space:
-            if _BY_ITSELF.search(text):
-                return self._ask([text])[0]
-            first, space, rest = text.partition(" ")
-            head = self._ask([first])[0] if first else b""
-            if not space:
-                return head
-            units = rest.split(" ")
-        else:
-            head, units = b"", text.split(" ")
-        parts = list(map(self._memo.get, units))
-        if None in parts:
-            self._learn({u for u, p in zip(units, parts, strict=True) if p is None})
-            parts = list(map(self._memo.get, units))
-            if None in parts:  # the memo was renewed meanwhile
-                self._learn(set(units))
-                parts = list(map(self._memo.__getitem__, units))
-        return head + b"".join(parts)
+            heads = self._ask([h or "" for h in heads])
+        out = [h + b"".join(map(get, u)) for h, u in zip(heads, units, strict=True)]
+        for k, raw in zip(alone, self._ask([texts[k] for k in alone]), strict=True):
+            out[k] = raw
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @cache
