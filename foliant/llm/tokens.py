@@ -16,15 +16,17 @@ from functools import cache
 import numpy as np
 
 _BY_ITSELF = re.compile(r"^\s|\s$|\s\s")
-_MARKS = ".,;:!?"
+#: Symbols of ASCII that close a unit; not the apostrophe, which can begin a token of letters.
+_SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class UnitEncoder:
     """``encode_all(texts)``: the ids of each as little-endian unsigned 32-bit integers.
 
     keeps_space: the tokenizer joins a leading space to the word that follows;
-    then texts with white space at an end or twice in a row are encoded whole.
-    A unit of letters and one closing mark is put together from the two, which
+    then texts with white space at an end or twice in a row are encoded whole, and
+    a line's first unit is one with its line end (others drop line ends).
+    A unit of letters and closing symbols is put together from the two, which
     every pattern in use splits there.  Units of letters that are not known yet are
     encoded a few hundred at a time, in one text, and told apart by the tokens that
     begin (or end) a word.  The memo has two generations of up to ``most`` units.
@@ -39,8 +41,9 @@ class UnitEncoder:
         self._keeps_space, self._most = keeps_space, most
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._marks = dict(zip(_MARKS, self._ask(list(_MARKS)), strict=True))
+        self._tails: dict[str, bytes] = {}
         tokens = [self._tokenizer.id_to_token(k) or "" for k in range(self._tokenizer.get_vocab_size())]
+        self._line_end = np.array([t == "\u010a" for t in tokens])
         self._edge = np.array([t.startswith("\u0120") if keeps_space else t.endswith("</w>") for t in tokens])
 
     def _ask(self, texts: list[str]) -> list[bytes]:
@@ -48,66 +51,83 @@ class UnitEncoder:
 
     def _ask_words(self, words: list[str], at_once: int = 200) -> list[bytes]:
         """Units of letters, each with its leading space if that is kept."""
-        lead = " " if self._keeps_space else ""
-        parts = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        if not self._keeps_space:
+            return self._ask_joined(words, words, " ", self._edge, at_once)
+        texts = [f" {w}" for w in words]
+        return self._ask_joined(words, texts, "", self._edge, at_once)
+
+    def _ask_joined(self, words: list[str], texts: list[str], between: str, edge: np.ndarray, at_once: int) -> list[bytes]:
+        """Ids of texts, encoded many at a time where the edges show which are whose."""
+        parts = [texts[k : k + at_once] for k in range(0, len(words), at_once)]
         out = []
-        for part, raw in zip(parts, self._ask([lead + " ".join(p) for p in parts]), strict=True):
-            edges = np.flatnonzero(self._edge[np.frombuffer(raw, "<u4")])
+        for part, raw in zip(parts, self._ask([between.join(p) for p in parts]), strict=True):
+            edges = np.flatnonzero(edge[np.frombuffer(raw, "<u4")])
             starts = edges if self._keeps_space else np.concatenate([[0], edges[:-1] + 1])
             if len(edges) == len(part) and starts[0] == 0 and (self._keeps_space or edges[-1] == len(raw) // 4 - 1):
                 ends = [*(4 * starts[1:]).tolist(), len(raw)]
                 out += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
             else:
-                out += self._ask([lead + w for w in part])
+                out += self._ask(part)
         return out
 
     def _is_word(self, unit: str) -> bool:
         return unit.isalpha() and (unit.isascii() or unit.lower().isalpha())
 
+    def _tail(self, symbols: str) -> bytes:
+        """Ids of closing symbols; only short ones are kept, and of these a few thousand."""
+        found = self._tails.get(symbols)
+        if found is None:
+            found = self._ask([symbols])[0]
+            if len(symbols) <= 8 and len(self._tails) < 4096:
+                self._tails[symbols] = found
+        return found
+
     def _learn(self, units: set[str]) -> None:
         memo = self._memo
         new = [u for u in units if u not in memo]
         if len(memo) + len(new) > self._most:
             self._older, self._memo = memo, {}
             memo, new = self._memo, list(units)
-        older, words, rest, marked = self._older, set(), [], []
+        older, words, firsts, rest, closed = self._older, set(), set(), [], []
         for unit in new:
             if (known := older.get(unit)) is not None:
                 memo[unit] = known
-            elif self._is_word(unit):
-                words.add(unit)
-            elif unit[-1:] in _MARKS and self._is_word(unit[:-1]):
-                marked.append(unit)
-                if unit[:-1] not in memo:
-                    words.add(unit[:-1])
-            else:
+                continue
+            core = unit.rstrip(_SYMBOLS)
+            first = core[:1] == "\n"
+            if not self._is_word(core[1:] if first else core):
                 rest.append(unit)
-        words = list(words)
+                continue
+            if core != unit:
+                closed.append((unit, core))
+            if core not in memo:
+                (firsts if first else words).add(core)
+        words, firsts = list(words), list(firsts)
         memo.update(zip(words, self._ask_words(words), strict=True))
-        lead = " " if self._keeps_space else ""
-        memo.update(zip(rest, self._ask([lead + u for u in rest]), strict=True))
-        for unit in marked:
-            memo[unit] = memo[unit[:-1]] + self._marks[unit[-1]]
+        memo.update(zip(firsts, self._ask_joined(firsts, firsts, "", self._line_end, 200), strict=True))
+        memo.update(zip(rest, self._ask([f" {u}" if self._keeps_space and u[:1] != "\n" else u for u in rest]), strict=True))
+        for unit, core in closed:
+            memo[unit] = memo[core] + self._tail(unit[len(core) :])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        heads, units, seen, alone = [], [], set(), []
+        units, seen, alone = [], set(), []
         for text in texts:
-            head, rest = b"", []
+            own = []
             if self._keeps_space and _BY_ITSELF.search(text):
-                alone.append(len(heads))
+                alone.append(len(units))
             elif self._keeps_space:
-                first, space, after = text.partition(" ")
-                head, rest = first, after.split(" ") if space else []
+                own = text.replace("\n", " \n").split(" ")
             else:
-                rest = text.split(" ")
-            heads.append(head)
-            units.append(rest)
-            seen.update(rest)
+                own = text.replace("\n", " ").split(" ")
+            units.append(own)
+            seen.update(own[1:] if self._keeps_space else own)
         self._learn(seen)
         get = self._memo.__getitem__
         if self._keeps_space:
-            heads = self._ask([h or "" for h in heads])
-        out = [h + b"".join(map(get, u)) for h, u in zip(heads, units, strict=True)]
+            heads = self._ask([u[0] if u else "" for u in units])
+            out = [h + b"".join(map(get, u[1:])) for h, u in zip(heads, units, strict=True)]
+        else:
+            out = [b"".join(map(get, u)) for u in units]
         for k, raw in zip(alone, self._ask([texts[k] for k in alone]), strict=True):
             out[k] = raw
         return out
