@@ -219,9 +219,9 @@ class Codec:
         return known
 
     def encode(self, text: str) -> bytes:
-        from foliant.llm.tokens import _BY_ITSELF
+        from foliant.llm.tokens import by_itself
 
-        if _BY_ITSELF.search(text):
+        if by_itself(text):
             return self._whole(text)
         first, space, rest = text.partition(" ")
         head = self._whole(first)

@@ -16,6 +16,16 @@ from functools import cache
 import numpy as np
 
 _BY_ITSELF = re.compile(r"^\s|\s$|\s\s")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def by_itself(text: str) -> bool:
+    """Whether white space stands at an end or twice in a row."""
+    if any(c in text for c in _OTHER_SPACE):
+        return _BY_ITSELF.search(text) is not None
+    return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(pair in text for pair in ("  ", " \n", "\n ", "\n\n"))
+
+
 #: Symbols of ASCII that close a unit; not the apostrophe, which can begin a token of letters.
 _SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -113,7 +123,7 @@ class UnitEncoder:
         units, seen, alone = [], set(), []
         for text in texts:
             own = []
-            if self._keeps_space and _BY_ITSELF.search(text):
+            if self._keeps_space and by_itself(text):
                 alone.append(len(units))
             elif self._keeps_space:
                 own = text.replace("\n", " \n").split(" ")
