@@ -128,7 +128,8 @@ class UnitEncoder:
             elif self._keeps_space:
                 own = text.replace("\n", " \n").split(" ")
             else:
-                own = text.replace("\n", " ").split(" ")
+                # the tokenizer puts all in lower case: ASCII can be so before it is cut into units
+                own = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
             units.append(own)
             seen.update(own[1:] if self._keeps_space else own)
         self._learn(seen)
