@@ -4,7 +4,7 @@ repeated passages, packing.
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept and
 returns a DataFrame; all but the last return the columns of ``docs``.  Nulls, empty
 texts, repeated rows and empty tables are defined by the operators a stage calls:
-null texts count as empty, and rows with equal ids stay together.
+null texts count as empty, and rows with equal ids are documents of their own.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id stays of each class of near duplicates."""
+    """One row stays of each class of near duplicates, that of its least id."""
     return near_dedup.keep_one(docs)
 
 

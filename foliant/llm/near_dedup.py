@@ -300,20 +300,32 @@ def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
     return staged(with_a.withColumn("apart", root != root_a).withColumn("root", root).drop("root_a"), "rooted")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, copy_of: one row a document."""
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, class_id, copy_of: one row a document."""
     small_batches(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
     signed = staged(texts.mapInArrow(_sign, "doc_id long, words_key binary, bands array<long>"), "signed")
     reps = staged(signed.groupBy("words_key").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")), "different")
     roots = components(links(reps.select("doc_id", "bands"), texts))
     classed = reps.select("words_key", F.col("doc_id").alias("copy_of")).join(roots.select(F.col("id").alias("copy_of"), F.col("root").alias("class_id")), "copy_of", "left").withColumn("class_id", F.coalesce("class_id", "copy_of"))
-    out = signed.select("doc_id", "words_key").join(classed, "words_key")
+    return signed.select("doc_id", "words_key").join(classed, "words_key").select("doc_id", "class_id", "copy_of")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size, copy_of: one row a document."""
+    out = _classed(docs, id_col, text_col)
     sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return out.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size", "copy_of")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those of its least id."""
-    gone = classes(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of ``docs`` for each class: that of its least id, of these the first by place.
+
+    Rows are numbered in a staged frame and classed by number, so repeated ids and null
+    ids are rows of their own.  A null id stands only for a class that has no other.
+    """
+    numbered = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    found = _classed(numbered, "__rid", text_col).select(F.col("doc_id").alias("__rid"), "class_id")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__rid"))
+    kept = found.join(numbered.select("__rid", id_col), "__rid").groupBy("class_id").agg(F.min(order).alias("least"))
+    return numbered.join(kept.select("least.__rid"), "__rid", "left_semi").select(*docs.columns)

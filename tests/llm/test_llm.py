@@ -137,6 +137,18 @@ def test_near_dedup_joins_a_chain(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_keep_one_keeps_one_row_a_class(spark):
+    rnd = random.Random(5)
+    a, b, c, d, e = (prose(rnd, 120) for _ in range(5))
+    rows = [(7, a), (7, a), (None, b), (None, b), (1, c), (2, c), (2, d), (None, a), (9, e)]
+    frame = spark.createDataFrame([(i, t, "clash", "en") for i, t in rows], SCHEMA).repartition(3)
+    kept = near_dedup.keep_one(frame)
+    assert kept.columns == frame.columns
+    same([(r["doc_id"], r["text"]) for r in kept.collect()], [(7, a), (None, b), (1, c), (2, d), (9, e)])
+    cleaned = substring_dedup.clean(near_dedup.staged(kept, "kept")).collect()
+    same([(r["doc_id"], r["text"]) for r in cleaned], [(7, a), (None, b), (1, c), (2, d), (9, e)])
+
+
 def test_token_store(spark, docs, texts, empty):
     layout = token_store.Layout(tokens.vocabulary("word_bpe_49k.json"), False, 1)
     path = token_store.write_store(docs, layout)
