@@ -23,8 +23,8 @@ Shuffled are the index (a row a block, about 14 windows), single windows at the
 of factors, and texts twice, to find those windows and to rebuild what is kept.
 Counting is by key with partial sums; no group of occurrences meets in one task.
 
-Rows are numbered by their place in the input (partition and position), which must
-read the same each time: a table, or a staged frame, not one with random parts.
+Rows are numbered once, in a staged frame that all uses read, so an input whose
+partitions are planned anew between jobs gives the same result.
 
 Null text has no words.  Texts of fewer than 35 words lose nothing.  Repeated rows
 are occurrences of their own: their passages repeat.  Other columns are not read.
@@ -185,7 +185,7 @@ def _rebuild(window: int):
 def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row a document."""
     small_batches(docs.sparkSession)
-    texts = id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
+    texts = staged(id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "numbered")
     runs = spans(texts.select("rid", "text"), window, phrase).groupBy("rid").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
     return texts.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_rebuild(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -194,7 +194,7 @@ def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: s
     """The rows of ``docs``, their texts without repeated passages: as they were where
     nothing went, else the words kept, joined by one space."""
     small_batches(docs.sparkSession)
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    numbered = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
     own = numbered.select(F.col("__rid").alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     runs = spans(own, window, phrase).groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("first", "windows")).alias("__runs"))
 

@@ -285,6 +285,36 @@ def test_substring_dedup(docs, texts, empty):
     assert substring_dedup.dedup(near_dedup.staged(empty, "none")).count() == 0
 
 
+def test_substring_dedup_when_partitions_change(spark, tmp_path, monkeypatch):
+    rnd = random.Random(6)
+    passage = prose(rnd, 60)
+    rows = [(k, f"{prose(rnd, 40 + 7 * k)} {passage if k % 5 == 0 else ''} {prose(rnd, 40)}") for k in range(60)]
+    spark.createDataFrame([(i, t, "clash", "en") for i, t in rows], SCHEMA).repartition(12).write.parquet(f"{tmp_path}/d")
+    table, write = spark.read.parquet(f"{tmp_path}/d"), substring_dedup.staged
+    plain = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(table).collect()}
+    assert plain == {i: 60 if i % 5 == 0 else 0 for i, _ in rows}
+    key, sizes = "spark.sql.files.maxPartitionBytes", []
+
+    def moving(df, label):
+        out = write(df, label)
+        sizes.append(spark.conf.get(key))
+        spark.conf.set(key, str(30_000 if len(sizes) % 2 else 1 << 27))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "staged", moving)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 27))
+        got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(table).collect()}
+        spark.conf.set(key, str(1 << 27))
+        sizes.clear()
+        cleaned = {r["doc_id"]: len(r["text"].split()) for r in substring_dedup.clean(table).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == plain
+    assert cleaned == {i: len(t.split()) - plain[i] for i, t in rows}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
