@@ -35,7 +35,8 @@ class UnitEncoder:
 
     keeps_space: the tokenizer joins a leading space to the word that follows;
     then texts with white space at an end or twice in a row are encoded whole, and
-    a line's first unit is one with its line end (others drop line ends).
+    a line's first unit is one with its line end (others drop line ends).  Texts that
+    hold an added token such as <|endoftext|> are encoded whole too.
     A unit of letters and closing symbols is put together from the two, which
     every pattern in use splits there.  Units of letters that are not known yet are
     encoded a few hundred at a time, in one text, and told apart by the tokens that
@@ -47,8 +48,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._keeps_space, self._most = keeps_space, most
+        self._added = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._marks = {re.match(r"\W*", c)[0] for c in self._added}
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
@@ -80,6 +82,10 @@ class UnitEncoder:
                 out += self._ask(part)
         return out
 
+    def _holds_added(self, text: str) -> bool:
+        """Whether an added token stands in the text, in any case: in lower case it would read as one."""
+        return any(m in text for m in self._marks) and any(c in text.lower() for c in self._added)
+
     def _is_word(self, unit: str) -> bool:
         return unit.isalpha() and (unit.isascii() or unit.lower().isalpha())
 
@@ -123,7 +129,7 @@ class UnitEncoder:
         units, seen, alone = [], set(), []
         for text in texts:
             own = []
-            if self._keeps_space and by_itself(text):
+            if (self._keeps_space and by_itself(text)) or self._holds_added(text):
                 alone.append(len(units))
             elif self._keeps_space:
                 own = text.replace("\n", " \n").split(" ")

@@ -168,6 +168,18 @@ def test_token_store(spark, docs, texts, empty):
     assert token_store.read_store(spark, token_store.write_store(empty, layout), layout).count() == 0
 
 
+@pytest.mark.parametrize(("name", "keeps_space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_are_encoded_as_the_library_does(name, keeps_space):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary(name)
+    library, encoder = Tokenizer.from_file(path), tokens.UnitEncoder(path, keeps_space)
+    parts = ["hello <|endoftext|> world", "<|endoftext|>", "x<|startoftext|>y", "a <|ENDOFTEXT|> b", "\u00c4 <|EndOfText|>", "a <| b |> <|endoftext", "two\n<|endoftext|>\nlines", "<|endoftext|><|endoftext|>", "plain text, twice", ""]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in parts]
+    assert encoder.encode_all(parts) == want
+    assert [encoder.encode(t) for t in parts] == want
+
+
 def test_crc_of_parts():
     data = random.Random(0).randbytes(5000)
     assert token_store.crc32_joined([(zlib.crc32(data[a:b]), b - a) for a, b in ((0, 0), (0, 17), (17, 4000), (4000, 5000))]) == zlib.crc32(data)
