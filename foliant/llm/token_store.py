@@ -15,8 +15,8 @@ A rolling hash over 16 ids cuts each stream, so equal passages give equal chunks
 wherever they stand.  The ids of a chunk are stored once, in the row of its first
 owner (least document id, then row, then position); every other occurrence is a
 16-byte address.  Only addresses are shuffled to find owners, the ids themselves
-move once, to their range of document ids.  Reading back checks every chunk held
-against its address, resolves every address and folds chunk CRCs into document
+move once, to their range of document ids.  Reading back checks the manifest against
+the packs and every chunk held against its address, resolves every address and folds chunk CRCs into document
 CRCs, so no ids move then.
 
 Null text counts as empty: a stream of the end id alone.  Rows that repeat a
@@ -270,17 +270,24 @@ def write_manifest(spark: SparkSession, path: str) -> None:
 
 def manifest_breaks(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of the manifest that the packs do not reproduce (none, if intact)."""
+    return _breaks(spark, path, packs_of(spark, path))
+
+
+def _breaks(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     stored = spark.read.parquet(f"{path}/manifest")
-    again = _nodes(packs_of(spark, path).select("pack", "seq", "n_tokens", "root"))
+    again = _nodes(rows.select("pack", "seq", "n_tokens", "root"))
     return stored.exceptAll(again).unionByName(again.exceptAll(stored))
 
 
 def read_store(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """Per document, from the files: start, n_tokens and the CRC-32 of its ids as
     unsigned 32-bit integers, with the chunks of its recipe and how many of them
-    another document holds."""
+    another document holds.  Fails if a node of the manifest is not what the packs give."""
     small_batches(spark)
     read = staged(packs_of(spark, path).mapInArrow(_check_held(layout), _READ), "store-read")
+    broken = _breaks(spark, path, read).select("level", "pack", "block").take(3)
+    if broken:
+        raise ValueError(f"the packs do not match the manifest: {[tuple(r) for r in broken]}")
     chunks = read.select("rid", F.posexplode(F.arrays_zip(_recipe().alias("addrs"), "crcs")).alias("pos", "x")).select("rid", "pos", "x.addrs", "x.crcs")
     known = chunks.where("crcs is not null").select("addrs", F.col("crcs").alias("crc"))
     rest = chunks.where("crcs is null").join(known, "addrs").groupBy("rid").agg(F.collect_list(F.struct("pos", "crc")).alias("rest"))

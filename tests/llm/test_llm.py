@@ -168,6 +168,18 @@ def test_token_store(spark, docs, texts, empty):
     assert token_store.read_store(spark, token_store.write_store(empty, layout), layout).count() == 0
 
 
+def test_token_store_checks_its_manifest(spark, docs, tmp_path):
+    layout = token_store.Layout(tokens.vocabulary("word_bpe_49k.json"), False, 1)
+    path = token_store.write_store(docs, layout)
+    packs, manifest = token_store.packs_of(spark, path), spark.read.parquet(f"{path}/manifest")
+    lost = packs.where("array_contains(held, 0) and doc_id is not null").orderBy("doc_id").first()
+    for name, changed in (("missing", packs.where(f"rid <> {lost['rid']}")), ("extra", packs.unionByName(packs.where("doc_id = 201")))):
+        changed.write.parquet(f"{tmp_path}/{name}/packs")
+        manifest.write.parquet(f"{tmp_path}/{name}/manifest")
+        with pytest.raises(ValueError, match="do not match the manifest"):
+            token_store.read_store(spark, f"{tmp_path}/{name}", layout)
+
+
 @pytest.mark.parametrize(("name", "keeps_space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_added_tokens_are_encoded_as_the_library_does(name, keeps_space):
     from tokenizers import Tokenizer
