@@ -60,6 +60,39 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2026 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_license_texts(spark):
+    names = sorted(n for n in licenses.TEMPLATES if n.endswith("-text"))
+    assert {"Apache-2.0-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "GPL-3.0-text", "ISC-text", "MIT-text", "Zlib-text"} <= set(names)
+    assert "must not be misrepresented" in licenses.TEMPLATES["Zlib-text"] and "ARISING OUT OF" in " ".join(licenses.TEMPLATES["ISC-text"].split())
+    rows = [(-1, MIT_FILE)] + [(k, "Copyright (c) 2026 A. Holder\n\n" + licenses.TEMPLATES[n]) for k, n in enumerate(names)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("unit = 0").collect()
+    same([(r["doc_id"], r["license"]) for r in got], [(-1, "MIT-text"), *enumerate(names)])
+
+
 def test_gif_round_trip(docs, texts, empty):
     rows = media_gif.payload_rows(docs, keep_media=True).collect()
     want = []
