@@ -1,150 +1,252 @@
 """Operator 9: exact top-k inner products, score at a time over an impact-ordered index.
 
-Components become integers, floor(256 x).  A tile holds some thousands of vectors;
-its index keeps, per dimension, posting segments of equal quantised impact (the
-component over ``STEP``, towards minus infinity).  For a block of queries, segments
-are processed by descending absolute impact: each adds query weight x impact x STEP
-to the scores of its vectors.  What a vector can still gain is bounded, by the
-largest impact left for dimensions not reached and by STEP - 1 for the rest of a
-component.  Processing stops for good only on proof: once at most ``FEW`` vectors
-have an upper bound that reaches the k-th largest lower bound.  All vectors that
-can still be members are scored exactly, ties to the smaller id.
-
-Queries meet tiles through an equi-join on tile numbers: both sides are dealt out
-by a hash, no side is broadcast, and tiles have a bounded number of rows.  Of each
-(query, tile) only k rows leave the task.
-
-Vectors that are null, hold null, NaN or infinite components, or have another
-length than the query, take no part (with that query).  A null id
-takes no part.  Repeated ids are rows of their own as candidates.  Other columns
-are not read.
+Components become integers, floor(256 x).  Vectors are dealt into tiles of some
+thousand rows, and the index of a tile is stored as a row of a table: its posting
+segments, each the places of all vectors whose component in one dimension has one
+quantised impact (the component over ``STEP``, towards minus infinity), in the order
+of descending absolute impact over all dimensions; and after each of a few
+checkpoints in that order, by vector, the length of what the segments up to there
+leave of it.
+
+A block of queries is scored a segment at a time: every vector of a segment gains
+query component x middle of the impact.  What is still missing from a score is at
+most the query's length times the length left of the vector (Cauchy-Schwarz), so at a
+checkpoint each score has a lower and an upper bound.  The k-th largest lower bound,
+or the k-th best score of the tiles that the task has done before if that is larger,
+is a threshold that members must reach.  Processing stops once at most ``FEW`` vectors a
+query can still reach it, and that is proven by the bounds alone.  Those are scored
+exactly, ties to the smaller id.
+
+Queries meet the index through an equi-join on groups of tiles: both sides are dealt
+out by a hash, no side is broadcast, and tiles and blocks have a bounded number of
+rows.  Of each query and group k rows leave the task.
+
+Vectors that are null, hold null, NaN or infinite components (256 x included), or have
+another length than the query, take no part (with that query); nor does a null id.
+Rows that repeat an id are queries and candidates of their own: only the query's own
+row is left out, and each such query has its k rows under that id.  Scores are exact
+for components of any size; one beyond 64 bits is given as the nearest long.  An empty
+table gives no rows.  Columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP, FEW = 8, 64
-TILE_ROWS, QUERY_ROWS = 8192, 4096
-
-
-def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Integer inner products.  Doubles hold them exactly: |component| is far below 2^20."""
-    return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-
-
-class Index:
-    """Posting segments of one tile by descending absolute impact."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        self.impacts = np.floor_divide(vectors, STEP)
-        size = np.abs(self.impacts)
-        # levels of about equal numbers of postings, the largest impacts first
-        edges = np.unique(np.quantile(size, [0.5, 0.75, 0.9], method="higher")) if size.size else np.array([], np.int64)
-        self.levels = [int(e) for e in edges[::-1]] + [0]
-        self.size = size
-
-    def planes(self):
-        """(scores' part of the postings of a level, largest impact left after it)."""
-        above = None
-        for low in self.levels:
-            own = self.size >= low if above is None else (self.size >= low) & (self.size < above)
-            left = 0 if low == 0 else int(self.size[self.size < low].max(initial=0))
-            yield np.where(own, self.impacts, 0).astype(np.float32), own, left
-            above = low
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of the k best of one tile for each query of a block."""
-    index = Index(vectors)
-    q = queries.astype(np.float32)
-    weight = np.abs(q)
-    partial = np.zeros((len(q), len(ids)), np.float32)
-    # what the parts of components below STEP can add, at most and at least
-    rest_up, rest_down = (STEP - 1) * np.maximum(q, 0).sum(1), (STEP - 1) * np.minimum(q, 0).sum(1)
-    unseen = np.repeat(weight.sum(1)[:, None], len(ids), 1)
-    n = min(k + 1, len(ids))  # one more: a query may meet itself here
-    members = None
-    for plane, own, left in index.planes():
-        partial += STEP * (q @ plane.T)
-        unseen -= weight @ own.T.astype(np.float32)
-        open_ = unseen * (left * STEP + STEP)  # impacts are floors, so a size of up to left + 1 steps
-        # float32 sums may be off by their rounding; a part in ten thousand covers it
-        slack = 1 + 1e-4 * (np.abs(partial) + open_)
-        upper = partial + open_ + rest_up[:, None] + slack
-        lower = partial - open_ + rest_down[:, None] - slack
-        threshold = np.partition(lower, len(ids) - n, 1)[:, len(ids) - n]
-        members = upper >= threshold[:, None]
-        if members.sum(1).max() <= FEW:
+from foliant.llm.common import small_batches, staged
+
+STEP, FEW = 4, 64
+#: Rows of a tile and of a block of queries, tiles that one task takes in a row, queries scored together.
+TILE_ROWS, QUERY_ROWS, GROUP, TOGETHER = 2048, 1024, 4, 256
+#: Shares of the postings after which bounds are looked at.
+CHECKPOINTS = (0.4, 0.6, 0.75, 0.9, 1.0)
+#: Below this, sums of products of doubles that are integers are exact.
+_EXACT = 2.0**52
+_LONG = 2**63
+
+
+@dataclass
+class Segments:
+    """The index of one tile: posting segments by descending absolute impact."""
+
+    dims: np.ndarray  # of each segment
+    middles: np.ndarray  # the middle of its impact
+    starts: np.ndarray  # its first posting; one more at the end
+    places: np.ndarray  # the vectors, segment by segment
+    stops: np.ndarray  # segments done at each checkpoint
+    left: np.ndarray  # checkpoint by vector: length of what is left
+
+    @classmethod
+    def of(cls, vectors: np.ndarray) -> Segments:
+        rows, width = vectors.shape
+        impacts = np.floor(vectors / STEP)
+        middles = impacts * STEP + (STEP - 1) / 2
+        size = np.abs(middles)
+        place, dim = (x.ravel() for x in np.meshgrid(np.arange(rows), np.arange(width), indexing="ij"))
+        order = np.lexsort((place, impacts.ravel(), dim, -size.ravel()))
+        dim, impact, own = dim[order], impacts.ravel()[order], size.ravel()[order]
+        first = np.flatnonzero(np.diff(dim, prepend=-1) | (np.diff(impact, prepend=np.nan) != 0))
+        stops, left, n = [], [], rows * width
+        for share in CHECKPOINTS:
+            low = own[min(n - 1, int(share * n))] if share < 1 else -1.0
+            done = size > low
+            stops.append(int(np.searchsorted(first, done.sum())))
+            with np.errstate(over="ignore"):  # such tiles are scored exactly throughout
+                left.append(np.sqrt(np.square(np.where(done, vectors - middles, vectors)).sum(1)))
+        return cls(dim[first].astype(np.int32), middles.ravel()[order][first], np.append(first, n).astype(np.int32), place[order].astype(np.int32), np.array(stops, np.int32), np.array(left))
+
+
+def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of integers held as doubles; Python's integers where doubles can't hold them."""
+    most = np.abs(query).max(initial=0) * np.abs(vectors).max(initial=0) * len(query)
+    if most < _EXACT:
+        return (vectors @ query).astype(np.int64)
+    own = [int(x) for x in query]
+    sums = (sum(a * int(b) for a, b in zip(own, row, strict=True)) for row in vectors.tolist())
+    return np.array([min(max(s, -_LONG), _LONG - 1) for s in sums], np.int64)
+
+
+def candidates(index: Segments, vectors: np.ndarray, queries: np.ndarray, is_own: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+    """vector by query: whether it can be among the k best, or reach ``least`` at all."""
+    members = ~is_own
+    most = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * queries.shape[1]
+    if not most < _EXACT or len(vectors) <= k:
+        return members
+    scores, weights, lengths = np.zeros(is_own.shape), np.ascontiguousarray(queries.T), np.sqrt(np.square(queries).sum(1))
+    done = 0
+    for stop, left in zip(index.stops.tolist(), index.left, strict=True):
+        for s in range(done, stop):
+            scores[index.places[index.starts[s] : index.starts[s + 1]]] += weights[index.dims[s]] * index.middles[s]
+        done = stop
+        # rounding of sums is far below one unit
+        room = left[:, None] * lengths * (1 + 1e-9) + 1
+        lower = np.where(is_own, -np.inf, scores - room)
+        threshold = np.maximum(np.partition(lower, len(vectors) - k, 0)[len(vectors) - k], least)
+        members = (scores + room >= threshold) & ~is_own
+        if members.sum(0).max(initial=0) <= FEW:
             break
-    out = []
-    for row in range(len(q)):
-        at = np.flatnonzero(members[row])
-        at = at[ids[at] != query_ids[row]]
-        scores = exact(queries[row : row + 1], vectors[at])[0]
-        best = np.lexsort((ids[at], -scores))[:k]
-        out += [(int(query_ids[row]), int(ids[at[b]]), int(scores[b])) for b in best]
-    return out
-
-
-def _tile(k: int):
-    def run(queries: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(queries) and len(tile):
-            tile = tile.sort_values("vec_id")
-            sizes_q, sizes_v = queries["v"].map(len).to_numpy(), tile["v"].map(len).to_numpy()
-            for width in np.unique(sizes_q):
-                q, v = queries[sizes_q == width], tile[sizes_v == width]
-                if width == 0 or not len(v):
-                    continue
-                vectors, ids = np.stack(v["v"].to_numpy()), v["vec_id"].to_numpy()
-                for first in range(0, len(q), 256):
-                    block = q.iloc[first : first + 256]
-                    rows += search(block["vec_id"].to_numpy(), np.stack(block["v"].to_numpy()), ids, vectors, k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+    return members
+
+
+class Best:
+    """The k best so far of each query of a block: score, then the smaller id."""
+
+    def __init__(self, numbers: np.ndarray, k: int):
+        self.k, self.found = k, {int(n): [] for n in numbers}
+
+    def least(self, numbers: np.ndarray) -> np.ndarray:
+        """Score that a further member must reach."""
+        own = [self.found[int(n)] for n in numbers]
+        return np.array([float(-x[-1][0]) if len(x) == self.k else -np.inf for x in own])
+
+    def add(self, number: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(ids):
+            own = self.found[int(number)]
+            # Python integers: the least long has no opposite
+            self.found[int(number)] = sorted(own + [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)])[: self.k]
+
+
+_BLOCK = "width int, rids binary, ids binary, vectors binary"
+_TILE = f"tile int, {_BLOCK}, dims binary, middles binary, starts binary, places binary, stops binary, left binary"
+
+
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    table = table.sort_by("rid").combine_chunks()
+    width = table["width"][0].as_py()
+    flat = pa.concat_arrays([c.flatten() for c in table["v"].chunks]).to_numpy(zero_copy_only=False)
+    return table["rid"].to_numpy(), table["vec_id"].to_numpy(), flat.reshape(-1, width)
+
+
+def _row(schema: list[str], values: list) -> pa.Table:
+    return pa.table({name: pa.array([x.tobytes()], pa.binary()) if isinstance(x, np.ndarray) else pa.array([x], pa.int32()) for name, x in zip(schema, values, strict=True)})
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    rids, ids, vectors = _rows(table)
+    index = Segments.of(vectors)
+    names = [x.split()[0] for x in _TILE.split(", ")]
+    return _row(names, [table["tile"][0].as_py(), vectors.shape[1], rids, ids, vectors, index.dims, index.middles, index.starts, index.places, index.stops, index.left])
+
+
+def _block(table: pa.Table) -> pa.Table:
+    rids, ids, vectors = _rows(table)
+    return _row(["block", "width", "rids", "ids", "vectors"], [table["block"][0].as_py(), vectors.shape[1], rids, ids, vectors])
+
+
+def _read(batch: pa.RecordBatch, row: int, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[row].as_py(), kind)
+
+
+_FOUND = pa.schema([("rid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _search(k: int):
+    """Rows (a block of queries and a tile) come sorted by width, block and group."""
+
+    def give(best: Best, ids: dict[int, int]) -> pa.RecordBatch:
+        rows = [(rid, ids[rid], vec_id, -less) for rid, own in best.found.items() for less, vec_id in own]
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 4)], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, best, ids_of = None, None, {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                width, key = batch.column("width")[row].as_py(), tuple(batch.column(c)[row].as_py() for c in ("width", "block", "grp"))
+                own, own_ids, queries = _read(batch, row, "q_rids", "<i8"), _read(batch, row, "q_ids", "<i8"), _read(batch, row, "q_vectors", "<f8").reshape(-1, width)
+                if key != last:
+                    if best:
+                        yield give(best, ids_of)
+                    last, best, ids_of = key, Best(own, k), dict(zip(own.tolist(), own_ids.tolist(), strict=True))
+                rids, ids, vectors = _read(batch, row, "rids", "<i8"), _read(batch, row, "ids", "<i8"), _read(batch, row, "vectors", "<f8").reshape(-1, width)
+                index = Segments(*(_read(batch, row, c, t) for c, t in (("dims", "<i4"), ("middles", "<f8"), ("starts", "<i4"), ("places", "<i4"), ("stops", "<i4"))), _read(batch, row, "left", "<f8").reshape(len(CHECKPOINTS), -1))
+                for first in range(0, len(own), TOGETHER):
+                    part, numbers = queries[first : first + TOGETHER], own[first : first + TOGETHER]
+                    members = candidates(index, vectors, part, rids[:, None] == numbers[None, :], best.least(numbers), k)
+                    for column, number in enumerate(numbers):
+                        at = np.flatnonzero(members[:, column])
+                        best.add(number, ids[at], exact(part[column], vectors[at]))
+        if best:
+            yield give(best, ids_of)
 
     return run
 
 
-def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, tile_rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def _floor(x: Column) -> Column:
+    """As a double: floor() would give longs and cut large ones."""
+    whole = x - x % 1.0
+    return F.when(whole > x, whole - 1.0).otherwise(whole)
+
+
+def build_index(vectors: DataFrame, tiles: int) -> DataFrame:
+    """The staged index: a row a tile (and length of its vectors)."""
+    dealt = vectors.withColumn("tile", F.pmod(F.xxhash64("rid"), F.lit(tiles)).cast("int"))
+    return staged(dealt.groupBy("tile", "width").applyInArrow(_tile, _TILE), "impact-index")
+
+
+def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, tile_rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by ``every``
     the k best of all others (all, if fewer)."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    small_batches(embeddings.sparkSession)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(256 * x) != float("inf")))
     vectors = (
         embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        .where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
+        .where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
         .where(F.coalesce(finite, F.lit(False)))
-        .select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x).cast("long")).alias("v"))
+        .select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.size("embedding").alias("width"), F.transform("embedding", lambda x: _floor(256 * x)).alias("v"))
     )
-    n = embeddings.select(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
-    tiles = max(1, -(-n["n"] // tile_rows))
-    blocks = max(1, -(-(n["q"] or 0) // query_rows))
-    deal = lambda df, seed, parts: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
-    queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = queries.withColumn("block", deal(queries, 1, blocks)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    vectors = vectors.withColumn("tile", deal(vectors, 2, tiles)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = queries.groupBy("tile", "block").cogroup(vectors.groupBy("tile", "block")).applyInPandas(_tile(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    vectors = staged(vectors, "vectors")
+    n = vectors.select(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
+    tiles, blocks = max(1, -(-n["n"] // tile_rows)), max(1, -(-(n["q"] or 0) // query_rows))
+    groups = -(-tiles // group)
+    index = build_index(vectors, tiles).withColumn("grp", F.expr(f"tile div {group}").cast("int"))
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = vectors.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(blocks)).cast("int"))
+    queries = queries.groupBy("block", "width").applyInArrow(_block, f"block int, {_BLOCK}").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = queries.select("width", "block", "grp", *(F.col(c).alias(f"q_{c}") for c in ("rids", "ids", "vectors")))
+    found = index.join(queries, ["width", "block", "grp"]).sortWithinPartitions("width", "block", "grp", "tile").mapInArrow(_search(k), "rid long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same over the embeddings table, for DuckDB.
 TOP_K_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v
   from embeddings
   where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id
+  select q.r as r, q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.r <> c.r
   where q.vec_id % 50 = 0
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+  select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """

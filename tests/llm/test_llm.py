@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and planted cases."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -310,18 +311,37 @@ def test_bpe_against_tiktoken(docs, texts, empty):
     assert bpe_fst.round_trip(empty, path, P.PATTERN).count() == 0
 
 
+def best_of(rows, k=5, every=50):
+    """Brute force: (query id, rank, id, score), every row a query and a candidate of its own."""
+    v = [(i, [math.floor(256 * y) for y in x]) for i, x in rows]
+    want = []
+    for r, (q, own) in enumerate(v):
+        if q % every == 0:
+            found = sorted((-min(max(sum(a * b for a, b in zip(own, x, strict=True)), -(2**63)), 2**63 - 1), c) for s, (c, x) in enumerate(v) if s != r and len(x) == len(own))[:k]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
+    return want
+
+
 def test_top_k_is_exact(spark):
     rnd = np.random.default_rng(2)
     rows = [(k, rnd.normal(0, 0.15, 16).tolist()) for k in range(300)] + [(300 + k, [0.5] * 16) for k in range(20)]
-    bad = [(400, None), (450, [float("nan")] * 16), (500, [None] * 16), (None, [0.1] * 16)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
-    v = {i: np.floor(256 * np.array(x)).astype(int) for i, x in rows}
-    want = []
-    for q in (i for i in v if i % 50 == 0):
-        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:5]
-        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    same([tuple(r) for r in topk.top_k(df, tile_rows=64).collect()], want)
+    bad = [(400, None), (450, [float("nan")] * 16), (500, [None] * 16), (None, [0.1] * 16), (550, []), (600, [float("inf")] * 16), (650, [1e308] * 16)]
+    schema = "vec_id long, embedding array<double>, rid string, block string, tile int"
+    df = spark.createDataFrame([(i, x, "clash", "clash", 0) for i, x in rows + bad], schema)
+    for parts in ({"tile_rows": 64}, {"tile_rows": 64, "query_rows": 2, "group": 2}, {}):
+        same([tuple(r) for r in topk.top_k(df, **parts).collect()], best_of(rows))
     assert topk.top_k(df.limit(0)).count() == 0
+    assert topk.top_k(df, k=500, tile_rows=64).where("query_id = 50").count() == 319  # all, if fewer
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(50, rnd.normal(0, 0.2, 8).tolist()) for _ in range(10)] + [(k, rnd.normal(0, 0.2, 8).tolist()) for k in range(1, 10)]
+    rows += [(100, rows[0][1]), (100, rows[0][1]), (200, [1.0, 2.0]), (201, [3.0, -4.0]), (7, [-1e-20] * 8)]
+    of = lambda own: spark.createDataFrame(own, "vec_id long, embedding array<double>")
+    same([tuple(r) for r in topk.top_k(of(rows), tile_rows=8).collect()], best_of(rows))
+    large = [(50, [1e14, 3.0, -1e9]), (51, [1e14, 1.0 / 256, 2.0]), (52, [9e6, -7.5, 1e300]), (53, [3.0, 2.0, 1.0])]
+    same([tuple(r) for r in topk.top_k(of(large)).collect()], best_of(large))
 
 
 def test_substring_dedup(docs, texts, empty):
