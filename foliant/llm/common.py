@@ -51,6 +51,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """Inner join on keys of which one may hold any share of the rows.
+
+    counted: staged, one row a key, with ``n``, the number of rows that have it.  A key with
+    more than one in ``share`` of these is heavy; fewer than ``share`` keys can be, so they are
+    broadcast and their rows stay where they are.  Rows of all other keys are shuffled.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    heavy, light = counted.where(F.col("n") * share > total), counted.where(F.col("n") * share <= total)
+    spread = rows.join(F.broadcast(heavy), keys)
+    dealt = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return spread.unionByName(dealt)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: a batch of long texts must fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

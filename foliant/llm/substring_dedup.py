@@ -8,26 +8,35 @@ Reference blocks.  The least hash among the 8-word phrases of a window is its
 anchor; consecutive windows with one anchor form a block, so every document is cut
 into blocks at places that its words alone decide, and equal passages are cut alike
 but for their ends.  All blocks of all documents are indexed, by anchor phrase and
-by the hash of the block's words.
-
-Parsing.  A document is a row of factors: runs of blocks that also occur elsewhere
-as a whole are copied from the index, as far as they go.  Where a factor ends, the
-block's anchor may still occur elsewhere with other words around it: there, and only
-there, single windows are compared, so a factor reaches exactly as far as the words
-agree.  A factor covers whole windows and so has at least 35 words.
+by the hash of the block's words, with the places (row, word) of the first and of the
+last block of each kind: these are the references that a parse may copy from.
+
+Parsing.  A document is parsed from left to right into factors.  A factor begins at the
+leftmost window that no factor holds yet and can be copied from a reference other than
+itself; of the references kept for that place the one is taken from which most words
+can be copied without a gap, over as many blocks as agree.  What no factor covers is
+literal.  At factor boundaries, where a block's words agree only in part with those of
+other blocks around the same anchor, windows are compared one by one, so a factor
+reaches exactly as far as the words agree; and a window that crosses a boundary and can
+be copied from elsewhere begins a factor of its own, which overlaps the one before it.  A
+factor has whole windows, so at least 35 words, and factors are the duplicate spans.
 
 Blocks and windows count as equal if phrase and word-sequence hashes, 64 bits each
 and independent, both agree.
 
-Shuffled are the index (a row a block, about 14 windows), single windows at the ends
-of factors, and texts twice, to find those windows and to rebuild what is kept.
-Counting is by key with partial sums; no group of occurrences meets in one task.
+Shuffled are the index (a row a block, about 14 windows) for counting, with partial
+sums, and for finding the blocks whose anchor occurs twice; single windows at factor
+boundaries; and texts twice, to find those windows and to rebuild what is kept.  Keys that
+hold more than a thousandth of the rows are joined by broadcast (there are fewer than
+a thousand), so no group of occurrences meets in one task.
 
 Rows are numbered once, in a staged frame that all uses read, so an input whose
 partitions are planned anew between jobs gives the same result.
 
-Null text has no words.  Texts of fewer than 35 words lose nothing.  Repeated rows
-are occurrences of their own: their passages repeat.  Other columns are not read.
+Null text has no words.  Texts of fewer than 35 words lose nothing.  Very long texts are
+parsed whole, a document at a time.  Repeated rows are occurrences of their own: their
+passages repeat.  An empty table gives no rows.  ``dedup`` reads no other columns;
+``clean`` returns them as they are, whatever their names (but ``__rid`` and ``__runs``).
 """
 
 from __future__ import annotations
@@ -37,10 +46,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_and_text, small_batches, staged
+from foliant.llm.common import id_and_text, join_counted, small_batches, staged
 from foliant.llm.near_dedup import WordHash, _mix
 
 WINDOW, PHRASE = 35, 8
@@ -114,80 +124,155 @@ def _index(window: int, phrase: int):
 
 
 def _windows(window: int, phrase: int):
-    """Single windows of blocks that are named in ``ends`` (their first windows)."""
+    """Single windows of the blocks in ``ends`` (their first windows), with whether the
+    block occurs once as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[], [], [], []]
+            columns = [[], [], [], [], []]
             for rid, text, ends in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "ends")), strict=True):
                 words = text.encode().split()
                 own = _hash(words)
-                values, wanted = phrases(own, phrase), np.zeros(len(words) - window + 1, bool)
+                values, wanted = phrases(own, phrase), np.zeros(len(words) - window + 1, np.int8)
                 anchor = leftmost_least(values, window - phrase + 1)
-                for first, count in ((e["first"], e["windows"]) for e in ends):
-                    wanted[first : first + count] = True
+                for end in ends:
+                    wanted[end["first"] : end["first"] + end["windows"]] = 2 if end["once"] else 1
                 at = np.flatnonzero(wanted)
                 own_hashes = Sequences(own).hashes(at, at + window)
-                for k, x in enumerate((values[anchor[at]].view(_SIGNED), own_hashes.view(_SIGNED), np.full(len(at), rid), at)):
+                for k, x in enumerate((values[anchor[at]].view(_SIGNED), own_hashes.view(_SIGNED), np.full(len(at), rid), at, wanted[at] == 2)):
                     columns[k].append(x)
             arrays = [np.concatenate(c) if c else np.array([], _SIGNED) for c in columns]
-            yield pa.record_batch([pa.array(a.astype(t)) for a, t in zip(arrays, (_SIGNED, _SIGNED, _SIGNED, np.int32), strict=True)], names=["anchor", "words", "rid", "at"])
+            yield pa.record_batch([pa.array(a.astype(t)) for a, t in zip(arrays, (_SIGNED, _SIGNED, _SIGNED, np.int32, np.bool_), strict=True)], names=["anchor", "words", "rid", "at", "once"])
 
     return run
 
 
-def spans(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """rid, first, windows: runs of windows of ``texts`` (rid, text) that occur elsewhere too."""
+_COPY = ["rid", "first", "windows", "rid_1", "first_1", "rid_2", "first_2"]
+
+
+def _ends_of(*place: str) -> list[Column]:
+    """Number of rows, and the first and the last place, of a group."""
+    return [F.count("*").alias("n"), F.min(F.struct(*place)).alias("one"), F.max(F.struct(*place)).alias("last")]
+
+
+def copies(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """rid, first, windows: runs of windows of ``texts`` (rid, text) that occur elsewhere
+    too, each once, with the two references (rid, first) kept for them; one may be the run itself."""
     index = staged(texts.mapInArrow(_index(window, phrase), "anchor long, whole long, rid long, first int, windows short"), "blocks")
-    same = index.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("one"))
-    kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-    # anchors that occur once are done with; of the rest, blocks that occur twice as a whole are copied
-    known = staged(same.join(kinds, "anchor").select("anchor", "whole", "n", "one", "kinds"), "repeated")
-    copied = index.join(known.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("rid", "first", "windows")
-    # one occurrence of every kind of block around an anchor gives its windows
-    ends = known.where("kinds > 1").select("one.rid", "one.first", "anchor", "whole")
-    ends = ends.join(index.select("rid", "first", "windows"), ["rid", "first"]).groupBy("rid").agg(F.collect_list(F.struct("first", "windows")).alias("ends"))
-    windows = staged(texts.join(ends, "rid").select("rid", "text", "ends").mapInArrow(_windows(window, phrase), "anchor long, words long, rid long, at int"), "windows")
-    repeated = windows.groupBy("anchor", "words").count().where("count > 1").select("anchor", "words")
-    # blocks that occur twice as a whole are covered already; the others occur once, so their one occurrence is all of them
-    single = windows.join(repeated, ["anchor", "words"]).select("rid", F.col("at").alias("first"), F.lit(1).cast("short").alias("windows"))
+    anchors = staged(index.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1"), "anchors")
+    # blocks whose anchor occurs once are done with
+    blocks_ = staged(join_counted(index, anchors, ["anchor"]).drop("n"), "repeated")
+    kinds = staged(blocks_.groupBy("anchor", "whole", "mixed").agg(*_ends_of("rid", "first", "windows")), "kinds")
+    known = kinds.where("n > 1").select("anchor", "whole", "n", *_references("first"))
+    copied = join_counted(blocks_.drop("mixed"), known, ["anchor", "whole"]).select(*_COPY)
+    # one block of every kind around a mixed anchor gives its windows
+    ends = kinds.where("mixed").select("one.rid", F.struct("one.first", "one.windows", (F.col("n") == 1).alias("once")).alias("end")).groupBy("rid").agg(F.collect_list("end").alias("ends"))
+    windows = staged(texts.join(ends, "rid").select("rid", "text", "ends").mapInArrow(_windows(window, phrase), "anchor long, words long, rid long, at int, once boolean"), "windows")
+    repeated = staged(windows.groupBy("anchor", "words").agg(*_ends_of("rid", "at")).where("n > 1").select("anchor", "words", "n", *_references("at")), "repeated-windows")
+    # a block that occurs twice as a whole is copied already
+    single = join_counted(windows, repeated, ["anchor", "words"]).where("once").select("rid", F.col("at").alias("first"), F.lit(1).cast("short").alias("windows"), *_COPY[3:])
     return copied.unionByName(single)
 
 
-def _cover(runs: list, window: int, n: int) -> np.ndarray:
+def _references(place: str) -> list[Column]:
+    return [F.col(f"{end}.{name}").alias(f"{to}_{k}") for k, end in ((1, "one"), (2, "last")) for name, to in (("rid", "rid"), (place, "first"))]
+
+
+def parse(rid: int, runs: tuple[list[int], ...], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(first word, words, reference row, its first word) of the factors of one document.
+
+    runs: its rows of :func:`copies`, a list a column but the first one, in order of place.
+    """
+    first, windows = runs[0], runs[1]
+    sources = [[r for r in {a, b} if r != (rid, f)] for f, a, b in zip(first, zip(runs[2], runs[3], strict=True), zip(runs[4], runs[5], strict=True), strict=True)]
+    out, k, n = [], 0, len(first)
+    while k < n:
+        longest = None
+        for row, at in sorted(sources[k]):
+            end, place, reach = k, first[k], at
+            while end < n and first[end] == place and (row, reach) in sources[end]:
+                place, reach, end = place + windows[end], reach + windows[end], end + 1
+            if longest is None or end > longest[0]:
+                longest = end, place, row, at
+        end, place, row, at = longest
+        out.append((first[k], place - first[k] + window - 1, row, at))
+        k = end
+    return out
+
+
+def _parsed(batch: pa.RecordBatch, rids: str, runs: str, window: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """The factors of each row's document."""
+    lists = batch.column(runs)
+    fields = [f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten()]  # columns of all runs of the batch
+    sizes = [n or 0 for n in pc.list_value_length(lists).to_pylist()]
+    at = 0
+    for rid, n in zip(batch.column(rids).to_pylist(), sizes, strict=True):
+        if n:
+            order = np.argsort(fields[0][at : at + n], kind="stable")
+            yield parse(rid, tuple(f[at : at + n][order].tolist() for f in fields), window)
+        else:
+            yield []
+        at += n
+
+
+def _runs(texts: DataFrame, window: int, phrase: int, name: str) -> DataFrame:
+    """rid and the runs of its text that can be copied; as many as it has blocks and windows at most."""
+    return copies(texts, window, phrase).groupBy("rid").agg(F.collect_list(F.struct(*_COPY[1:])).alias(name))
+
+
+def factors(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, length, ref_rid, ref_start, rid: a row a factor, places in words."""
+    small_batches(docs.sparkSession)
+    texts = _numbered(docs, id_col, text_col)
+    runs = _runs(texts.select("rid", "text"), window, phrase, "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, rid, *f) for i, rid, own in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), _parsed(batch, "rid", "runs", window), strict=True) for f in own]
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 6)], names=["doc_id", "rid", "start", "length", "ref_rid", "ref_start"])
+
+    return texts.drop("text").join(runs, "rid").select("doc_id", "rid", "runs").mapInArrow(run, "doc_id long, rid long, start long, length long, ref_rid long, ref_start long")
+
+
+def _cover(own: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    for first, count in runs:
+    for first, length, _, _ in own:
         edge[first] += 1
-        edge[first + count - 1 + window] -= 1
+        edge[first + length] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
+def _kept(words: list[bytes], own: list[tuple[int, int, int, int]]) -> list[bytes]:
+    if not own:
+        return words
+    return [w for w, gone in zip(words, _cover(own, len(words)).tolist(), strict=True) if not gone]
+
+
 def _rebuild(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, sha = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for text, own in zip(batch.column("text").to_pylist(), _parsed(batch, "rid", "runs", window), strict=True):
                 words = text.encode().split()
-                if runs:
-                    gone = _cover([(r["first"], r["windows"]) for r in runs], window, len(words))
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    kept = words
-                data = b" ".join(kept)
+                kept = _kept(words, own)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
-                sha.append(hashlib.sha256(data).hexdigest())
+                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return staged(id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row a document."""
     small_batches(docs.sparkSession)
-    texts = staged(id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "numbered")
-    runs = spans(texts.select("rid", "text"), window, phrase).groupBy("rid").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
-    return texts.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_rebuild(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    texts = _numbered(docs, id_col, text_col)
+    runs = _runs(texts.select("rid", "text"), window, phrase, "runs")
+    return texts.join(runs, "rid", "left").select("rid", "doc_id", "text", "runs").mapInArrow(_rebuild(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,19 +281,15 @@ def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: s
     small_batches(docs.sparkSession)
     numbered = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
     own = numbered.select(F.col("__rid").alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs = spans(own, window, phrase).groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("first", "windows")).alias("__runs"))
+    runs = _runs(own, window, phrase, "__runs").withColumnRenamed("rid", "__rid")
 
     columns, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, found in zip(batch.column(text_col).to_pylist(), batch.column("__runs").to_pylist(), strict=True):
-                if found:
-                    words = text.encode().split()
-                    gone = _cover([(r["first"], r["windows"]) for r in found], window, len(words))
-                    text = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
-                texts.append(text)
+            for text, found in zip(batch.column(text_col).to_pylist(), _parsed(batch, "__rid", "__runs", window), strict=True):
+                texts.append(b" ".join(_kept(text.encode().split(), found)).decode() if found else text)
             yield batch.select(columns).set_column(at, pa.field(text_col, pa.string()), pa.array(texts, pa.string()))
 
-    return numbered.join(runs, "__rid", "left").select(*columns, "__runs").mapInArrow(run, docs.schema)
+    return numbered.join(runs, "__rid", "left").select(*columns, "__rid", "__runs").mapInArrow(run, docs.schema)

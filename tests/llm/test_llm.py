@@ -362,6 +362,28 @@ def test_substring_dedup(docs, texts, empty):
     assert substring_dedup.dedup(near_dedup.staged(empty, "none")).count() == 0
 
 
+def test_factors_copy_what_they_name(spark):
+    rnd = random.Random(21)
+    a, b, c, d = (prose(rnd, n) for n in (200, 90, 50, 300))
+    rows = [(1, a), (1, f"{prose(rnd, 20)} {b} {prose(rnd, 9)}"), (2, f"{c} {a[40:]} {b}"), (3, f"{b} {c} {b}"), (None, c), (4, a), (5, "same " * 300), (6, None), (7, ""), (8, prose(rnd, 34))] + [(k, d) for k in (9, 10)]
+    frame = near_dedup.staged(spark.createDataFrame([(i, t, "clash", "en") for i, t in rows], SCHEMA).repartition(2), "own")
+    numbered = {r["rid"]: (r["text"] or "").split() for r in substring_dedup._numbered(frame, "doc_id", "text").collect()}
+    found = substring_dedup.factors(frame).collect()
+    assert found
+    for f in found:
+        assert f["length"] >= 35 and (f["rid"], f["start"]) != (f["ref_rid"], f["ref_start"])
+        assert numbered[f["rid"]][f["start"] : f["start"] + f["length"]] == numbered[f["ref_rid"]][f["ref_start"] : f["ref_start"] + f["length"]]
+    whole = [(f["start"], f["length"]) for f in found if f["doc_id"] in (9, 10)]
+    assert whole == [(0, 300)] * 2  # one factor goes as far as the copy does
+    assert substring_dedup._cover([(f["start"], f["length"], 0, 0) for f in found if f["doc_id"] == 4], 200).all()
+
+
+def test_parse_takes_the_longest_reference():
+    # windows 0-13 and 14-20 can both be copied from row 9, the first also from row 3
+    runs = ([0, 14, 30], [14, 7, 1], [3, 9, 5], [100, 64, 0], [9, 9, 7], [50, 64, 30])
+    assert substring_dedup.parse(7, runs) == [(0, 55, 9, 50), (30, 35, 5, 0)]
+
+
 def test_substring_dedup_when_partitions_change(spark, tmp_path, monkeypatch):
     rnd = random.Random(6)
     passage = prose(rnd, 60)
