@@ -1,19 +1,29 @@
 """Operator 6: toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause word by word: insults and threats (words and word
-beginnings with weights), targets (whom it is aimed at), negation and reported
-speech.  They are composed into one machine whose state is the product of theirs;
-its arcs carry weights, so a clause's score is that of the words that match times
-what the words before them did to it.  A document scores by its clauses together;
-a logistic calibration makes this the probability that the label is 1.
-
-The lexicon of insults is learnt from labelled rows (crc32(doc_id) mod 5 not 0):
-words and beginnings of words of 4 to 8 letters whose documents are mostly toxic.
+Five transducers read a text word by word: insults, threats, targets (whom they are
+aimed at), negation and reported speech.  They are composed into one machine whose
+state is the product of theirs.  An arc says how much of a matched word's weight counts
+(negation and reported speech take from it) and whether it counts at once or waits,
+and which waiting weights it sets free:
+
+* an insult counts at once if a target stands up to four words before it or the text has
+  had an insult already; else it waits for a target right after it or for a second insult
+  anywhere later.  What nothing sets free counts a tenth: one word that nobody is called is
+  no insult, as in a book about a stupid idea;
+* a threat waits for a target up to three words after it in its clause ("will kill
+  you"); without one a fiftieth counts, as in killing a process.
+
+A clause's score is what counted in it.  A document scores by its clauses together; a
+logistic calibration makes this the probability that the label is 1.
+
+The arcs' weights for insults are learnt from labelled rows (crc32(doc_id) mod 5 not
+0): words and beginnings of words of 4 to 8 letters whose documents are mostly toxic.
 The grammar's own words below are of everyday language.
 
-Null and empty texts score like any text without a match.  A sample without rows
-of both labels leaves the grammar's own words, with a fixed calibration.  Repeated
-ids give a row each; other columns than the id and the text are not read.
+Null and empty texts score like any text without a match.  Texts are read whole,
+whatever their length.  A sample without rows of both labels leaves the grammar's own
+words, with a fixed calibration.  Repeated rows and ids give a row each; an empty table
+gives none; other columns than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +32,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import log, prod
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,58 +49,86 @@ THRESHOLD = 0.5
 
 INSULTS = "idiot idiots moron morons imbecile stupid dumb fool loser losers scum trash pathetic worthless disgusting clown vermin".split()
 THREATS = "kill destroy hurt punish smash burn hang strangle".split()
-TARGETS = "you your yours he she him her they them du dich dein ihr tu toi ton vous usted te ti ellos".split()
+TARGETS = "you your yours he him she her they them du dich dein ihr tu toi ton vous usted te ti ellos".split()
 NEGATIONS = "not never no neither nor nicht kein keine nie jamais pas ni nunca jamás".split()
 REPORTS = "said says called wrote quoted alleged reported sagte nannte écrit disait dijo llamó".split()
 
 _WORD = re.compile(r"[^\W_]+|[.!?;:\n|]")
 INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER = range(7)
 SHORTEST, LONGEST = 4, 8
+#: Weight of a threat; what counts of a match that nothing sets free.
+THREAT_WEIGHT, UNAIMED, EVERYDAY = 5.0, 0.1, 0.02
+_MATCH = (INSULT, THREAT)
 
 
-def _target(state: int, kind: int) -> tuple[int, float]:
-    """1 after a target; an insult or threat then weighs more."""
-    return (1, 1.0) if kind == TARGET else (state, 1.25 if state and kind in (INSULT, THREAT) else 1.0)
+class Step(NamedTuple):
+    """What one transducer says to a word: its next state, the share of a match that
+    counts, whether an insult counts at once, and what is set free."""
 
+    state: int
+    share: float = 1.0
+    now: bool = False
+    frees_insult: bool = False
+    frees_threat: bool = False
+    frees_all: bool = False
 
-def _negation(state: int, kind: int) -> tuple[int, float]:
-    """Counts down three words from a negation; within them a match weighs less."""
-    if kind == NEGATION:
-        return 3, 1.0
-    return max(0, state - 1), 0.5 if state and kind in (INSULT, THREAT) else 1.0
+
+def _target(state: int, kind: int) -> Step:
+    """Counts down four words from a target; a verb of speaking ends it, for who speaks is not meant."""
+    if kind == TARGET:
+        return Step(4)
+    return Step(0 if kind in (END, REPORT) else max(0, state - 1), now=kind == INSULT and state > 0)
+
+
+def _insult(state: int, kind: int) -> Step:
+    """0 before any insult, 1 after one, 2 right after one.  Goes on over the ends of clauses."""
+    if kind == INSULT:
+        return Step(2, now=state > 0, frees_all=state > 0)
+    return Step(min(state, 1), frees_insult=kind == TARGET and state == 2)
 
 
-def _report(state: int, kind: int) -> tuple[int, float]:
-    """1 after a verb of speaking, up to the end of the clause; a match weighs less."""
-    return (1, 1.0) if kind == REPORT else (state, 0.6 if state and kind in (INSULT, THREAT) else 1.0)
+def _threat(state: int, kind: int) -> Step:
+    """Counts down three words from a threat, in which a target completes it."""
+    if kind == THREAT:
+        return Step(3)
+    return Step(0 if kind == END else max(0, state - 1), frees_threat=kind == TARGET and state > 0)
 
 
-def _threat(state: int, kind: int) -> tuple[int, float]:
-    """A threat counts only near a target or an insult; alone it is everyday speech."""
-    if kind in (TARGET, INSULT):
-        return 1, 1.0
-    return state, (0.8 if state else 0.1) if kind == THREAT else 1.0
+def _negation(state: int, kind: int) -> Step:
+    """Counts down three words from a negation."""
+    if kind == NEGATION:
+        return Step(3)
+    return Step(0 if kind == END else max(0, state - 1), share=0.4 if state and kind in _MATCH else 1.0)
+
 
+def _report(state: int, kind: int) -> Step:
+    """1 after a verb of speaking, up to the end of the clause."""
+    if kind == REPORT:
+        return Step(1)
+    return Step(0 if kind == END else state, share=0.5 if state and kind in _MATCH else 1.0)
 
-PARTS = (_target, _negation, _report, _threat)
+
+PARTS = (_insult, _threat, _target, _negation, _report)
 
 
 class Composed:
-    """The product machine, its arcs made when first asked for."""
+    """The product machine; states are numbers, arcs are made when first asked for."""
 
     def __init__(self):
-        self._arcs: dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], float]] = {}
-        self.start = (0,) * len(PARTS)
-
-    def step(self, state: tuple[int, ...], kind: int) -> tuple[tuple[int, ...], float]:
-        arc = self._arcs.get((state, kind))
-        if arc is None:
-            steps = [part(own, kind) for part, own in zip(PARTS, state, strict=True)]
-            weight = 1.0
-            for _, factor in steps:
-                weight *= factor
-            arc = self._arcs[state, kind] = (self.start if kind == END else tuple(s for s, _ in steps), weight)
-        return arc
+        self.states = [(0,) * len(PARTS)]
+        self.arcs: list[list[Step | None]] = [[None] * (OTHER + 1)]
+        self._numbers = {self.states[0]: 0}
+
+    def arc(self, number: int, kind: int) -> Step:
+        steps = [part(own, kind) for part, own in zip(PARTS, self.states[number], strict=True)]
+        state = tuple(s.state for s in steps)
+        if state not in self._numbers:
+            self._numbers[state] = len(self.states)
+            self.states.append(state)
+            self.arcs.append([None] * (OTHER + 1))
+        flags = (any(s[k] for s in steps) for k in range(2, 6))
+        made = self.arcs[number][kind] = Step(self._numbers[state], prod(s.share for s in steps), *flags)
+        return made
 
 
 @dataclass
@@ -100,7 +139,7 @@ class Grammar:
     machine: Composed = field(default_factory=Composed)
 
     def __post_init__(self):
-        self._own = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS} | {w: THREAT for w in THREATS}
+        self._own = {w: k for words, k in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)) for w in words}
         self._memo: dict[str, tuple[int, float]] = {}
 
     def __getstate__(self):
@@ -126,26 +165,40 @@ class Grammar:
         if weight is not None:
             return INSULT, weight
         if word in self._own:
-            return self._own[word], 1.0
+            return self._own[word], THREAT_WEIGHT if self._own[word] == THREAT else 0.0
         return (END if word in ".!?;:\n|" else OTHER), 0.0
 
     def clauses(self, text: str) -> list[tuple[float, int]]:
         """Score and number of matches of each clause that has one."""
-        words = _WORD.findall(text)
-        kinds = list(map(self.kind, words))
+        kinds = list(map(self.kind, _WORD.findall(text)))
         if not any(k <= THREAT for k, _ in kinds):
             return []
-        out, state, total, matches, step = [], self.machine.start, 0.0, 0, self.machine.step
+        arcs, arc = self.machine.arcs, self.machine.arc
+        out, state, total, matches = [], 0, 0.0, 0
+        insults = threats = earlier = 0.0  # weights that wait; those of the clauses before
         for kind, weight in [*kinds, (END, 0.0)]:
-            if kind == OTHER and not state[1]:
+            step = arcs[state][kind] or arc(state, kind)
+            state = step.state
+            if kind == OTHER:
                 continue
-            state, factor = step(state, kind)
-            if kind <= THREAT:
-                total, matches = total + weight * factor, matches + 1
-            elif kind == END and matches:
-                out.append((total, matches))
-                total, matches = 0.0, 0
-        return out
+            if kind == INSULT:
+                matches += 1
+                if step.now:
+                    total += weight * step.share
+                else:
+                    insults += weight * step.share
+            elif kind == THREAT:
+                threats, matches = threats + weight * step.share, matches + 1
+            if step.frees_all:
+                total, insults, earlier = total + insults + earlier, 0.0, 0.0
+            if step.frees_insult:
+                total, insults = total + insults, 0.0
+            if step.frees_threat:
+                total, threats = total + threats, 0.0
+            if kind == END and matches:
+                out.append((total + EVERYDAY * threats, matches))
+                earlier, insults, threats, total, matches = earlier + insults, 0.0, 0.0, 0.0, 0
+        return [*out, (UNAIMED * earlier, 0)] if earlier else out
 
     def features(self, text: str) -> tuple[float, ...]:
         found = self.clauses(text)
