@@ -14,7 +14,8 @@ Decoding.  A state machine over bytes tells after each token how far the bytes s
 far are whole UTF-8 characters; :class:`StreamingDecoder` gives text out as soon as
 it is whole.
 
-Null text counts as empty: no ids.  Repeated ids and texts give a row each.
+Null text counts as empty: no ids.  Texts are encoded whole; decoding goes on a bounded
+run of ids at a time.  Repeated ids and texts give a row each; an empty table gives none.
 Columns other than the two named are not read.
 """
 
@@ -48,6 +49,10 @@ def merge_by_rank(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+#: Ids that are fed to the decoder at a time.
+FED = 1 << 14
+
+
 class Transducer:
     """Merges as a transducer; states and arcs up to ``most``, then made anew."""
 
@@ -137,11 +142,13 @@ def _utf8_step(state: int, byte: int) -> int:
 
 class StreamingDecoder:
     """Ids in, text out as soon as its characters are whole.  Bytes that are no UTF-8
-    come out as U+FFFD; the bytes themselves are kept exact by ``decode_bytes``."""
+    come out as U+FFFD."""
 
-    def __init__(self, bytes_of: dict[int, bytes]):
+    def __init__(self, bytes_of: list[bytes]):
         self.bytes_of = bytes_of
         self._arcs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Tokens of whole characters: the arc from state 0 to itself.
+        self._whole = bytearray(self._arc(0, k) == (0, 0) for k in range(len(bytes_of)))
         self.reset()
 
     def reset(self) -> None:
@@ -150,20 +157,26 @@ class StreamingDecoder:
     def _arc(self, state: int, token: int) -> tuple[int, int]:
         """The state after a token, and how many of its bytes belong to an unfinished character."""
         open_bytes = -1
-        for k, byte in enumerate(data := self.bytes_of[token]):
+        data = self.bytes_of[token]
+        if state == 0 and data.isascii():
+            return 0, 0
+        for k, byte in enumerate(data):
             state = _utf8_step(state, byte)
             if state <= 0:
                 open_bytes = len(data) - k - 1
         return state, len(data) if open_bytes < 0 else open_bytes
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = []
+        out, whole, bytes_of = [], self._whole, self.bytes_of
         for token in ids:
+            if self.state == 0 and whole[token]:
+                out.append(bytes_of[token])
+                continue
             arc = self._arcs.get((self.state, token))
             if arc is None:
                 arc = self._arcs[self.state, token] = self._arc(max(self.state, 0), token)
             self.state, rest = arc
-            data = self.bytes_of[token]
+            data = bytes_of[token]
             if self.state == 0:
                 out.append(self._held + data)
                 self._held = b""
@@ -233,8 +246,9 @@ class Codec:
             parts = [self._unit(u) if p is None else p for u, p in zip(units, parts, strict=True)]
         return head + b"".join(parts)
 
-    def decode_bytes(self, raw: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(raw).cast("I")))
+
+    def decoder(self) -> StreamingDecoder:
+        return StreamingDecoder(self.bytes_of)
 
 
 @cache
@@ -245,15 +259,20 @@ def codec(path: str, pattern: str) -> Codec:
 def _round_trip(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        decoder = own.decoder()
         for batch in batches:
             n_tokens, ids_sha, back_sha, whole = [], [], [], []
             for text in batch.column("text").to_pylist():
-                raw = own.encode(text)
-                back = own.decode_bytes(raw)
-                n_tokens.append(len(raw) // 4)
+                raw, back = own.encode(text), hashlib.sha256()
+                ids = memoryview(raw).cast("I")
+                decoder.reset()
+                for first in range(0, len(ids), FED):
+                    back.update(decoder.feed(ids[first : first + FED]).encode())
+                back.update(decoder.finish().encode())
+                n_tokens.append(len(ids))
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
-                back_sha.append(hashlib.sha256(back).hexdigest())
-                whole.append(back == text.encode())
+                back_sha.append(back.hexdigest())
+                whole.append(back.digest() == hashlib.sha256(text.encode()).digest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(back_sha), pa.array(whole)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return run
@@ -283,7 +302,7 @@ def decode_column(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         own = codec(path, pattern)
-        decoder = StreamingDecoder(dict(enumerate(own.bytes_of)))
+        decoder = own.decoder()
         for batch in batches:
             texts = []
             for ids in batch.column("ids").to_pylist():
