@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from foliant.llm import bpe_fst, licenses, media_gif, near_dedup, packing, quality, substring_dedup, token_store, tokens, topk, toxicity
 
@@ -47,18 +49,49 @@ def same(got, want):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-def test_licenses(docs, empty):
-    want = []
-    for doc_id, text in ((r["doc_id"], r["text"] or "") for r in docs.collect()):
-        for unit, part in enumerate([text.replace("\n", " "), *text.split("\n")]):
-            words = regex.findall(r"[\p{L}\p{N}]+", part.lower())
-            own = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-            best = min(((-2.0 * len(own & set(b)) / (len(own) + len(b)), n) for n, b in ((n, licenses.bigrams_of(t)) for n, t in licenses.TEMPLATES.items()) if own), default=(0, ""))
-            if best[0] <= -licenses.THRESHOLD:
-                want.append((doc_id, unit, best[1]))
-    same([(r["doc_id"], r["unit"], r["license"]) for r in licenses.scan(docs).collect()], want)
-    assert want == [(204, 3, "MIT-line")]
+def licenses_by_hand(text, templates=licenses.TEMPLATES):
+    """(unit, first word, licence) of every match."""
+    def dice(words, own):
+        a = {f"{x} {y}" for x, y in zip(words, words[1:], strict=False)}
+        return 2.0 * len(a & own) / (len(a) + len(own)) if a else 0.0
+
+    words_of = lambda u: regex.findall(r"[\p{L}\p{N}]+", u.lower())
+    holds = lambda u: any(k in u.lower() for k in licenses.KEYS)
+    sets = {n: set(licenses.bigrams_of(t)) for n, t in templates.items()}
+    out = []
+    for unit, part in enumerate([text.replace("\n", " "), *text.split("\n")]):
+        score, name = min(((-dice(words_of(part), own), n) for n, own in sets.items()), default=(0, ""))
+        if score <= -licenses.THRESHOLD and holds(part):
+            out.append((unit, None, name))
+    words = words_of(text)
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    for n, t in templates.items():
+        size = len(words_of(t))
+        for s in {max(0, k - place) for gram, place in licenses.anchors(t, licenses.KEYS) for k, g in enumerate(grams) if g == gram}:
+            if dice(words[s : s + size], sets[n]) >= licenses.THRESHOLD:
+                out.append((-1, s, n))
+    return out
+
+
+def wrapped(text, width=80):
+    return "\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+def test_licenses(spark, docs, empty):
+    rnd = random.Random(12)
+    held = {n: licenses.TEMPLATES[n] for n in ("MIT-text", "ISC-text", "BSD-3-Clause-text", "Apache-2.0-text", "GPL-3.0-notice")}
+    rows = [(k, f"{prose(rnd, 300)}\n\n{wrapped(t)}\n\n{prose(rnd, 200)}") for k, t in enumerate(held.values())]
+    rows += [(10, "We thank all readers for their help. Released under the MIT License. Yours."), (11, "Released under the MIT License.\n" * 3), (11, "Released under the MIT License.\n" * 3), (12, "license " * 3000), (13, "license"), (None, "Licensed under CC BY 4.0.")]
+    frame = docs.select("doc_id", "text", F.lit("clash").alias("unit"), F.lit("clash").alias("b")).unionAll(spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, unit string, b string"))
+    want = [(r["doc_id"], *x) for r in frame.collect() for x in licenses_by_hand(r["text"] or "")]
+    got = [(r["doc_id"], r["unit"], r["first_word"], r["license"]) for r in licenses.scan(frame).collect()]
+    same(got, want)
+    for k, name in enumerate(held):  # whole licences, wrapped, in the middle of other prose
+        assert (k, -1, 300, name) in got
+    assert (10, -1, 7, "MIT-line") in got and (204, 3, None, "MIT-line") in got
     assert licenses.scan(empty).count() == 0
+    own = licenses.scan(spark.createDataFrame([(1, "some words\nalpha beta gamma delta epsilon\nx")], "doc_id long, text string"), {"own": "Alpha beta gamma, delta epsilon"}).collect()
+    assert {(r["unit"], r["license"], r["dice"]) for r in own} == {(2, "own", 1.0), (-1, "own", 1.0)}
 
 
 MIT_FILE = """MIT License
@@ -263,6 +296,22 @@ def test_grammar_context():
     best = lambda text: max(s for s, _ in g.clauses(text))
     assert best("you idiot") > best("an idiot") > best("someone said idiot") > best("she never said idiot")
     assert g.clauses("a plain sentence about you") == []
+    score = lambda text: g.scores([text])[0]
+    for toxic in ("I will kill you", "You are an idiot.", "pathetic loser", "An idiot came. Then another moron came.", "you stupid, worthless clown"):
+        assert score(toxic) > 0.5, toxic
+    for clean in ("a book about a stupid idea", "idiot", "they kill the process", "It hurt. You came.", "she said they called him a fool", "they never hurt you", "", "Kill it! You can restart."):
+        assert score(clean) < 0.5, clean
+
+
+def test_grammar_of_composed_words():
+    g = toxicity.Grammar(toxicity.learn_lexicon([]), np.array([1.0, 1.0, 0.0, -4.0]))
+    total = lambda text: round(sum(s for s, _ in g.clauses(text)), 6)
+    assert total("a fool") == 0.3 and total("fool you") == 3.0 and total("a fool it is you") == 0.3
+    assert total("he is a big old fool") == 0.3  # five words on
+    assert total("a fool. a moron") == 6.0  # a second insult sets the first one free, over clauses
+    assert total("kill him") == 5.0 and total("kill") == 0.1 and total("kill the old big him") == 0.1 and total("kill. him") == 0.1
+    assert total("not kill him") == 2.0 and total("said: kill him") == 5.0 and total("said kill him") == 2.5
+    assert len(g.machine.states) < 400
 
 
 def test_packing(docs, texts, empty):
@@ -299,7 +348,7 @@ def test_bpe_against_tiktoken(docs, texts, empty):
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rnd = random.Random(9)
     own = bpe_fst.codec(path, P.PATTERN)
-    decoder = bpe_fst.StreamingDecoder(dict(enumerate(own.bytes_of)))
+    decoder = own.decoder()
     for text in ["", "a" * 300, *("".join(rnd.choice("ab \n.,éß中\U0001f600x1") for _ in range(rnd.randrange(80))) for _ in range(500))]:
         ids = known.encode_ordinary(text)
         assert list(memoryview(own.encode(text)).cast("I")) == ids
