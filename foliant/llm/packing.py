@@ -26,6 +26,7 @@ import bisect
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -185,16 +186,17 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _cut(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all, task, seen = encoder(vocabulary, True).encode_all, TaskContext.get().partitionId(), Counter()
-        end = end_id.to_bytes(4, "little")
+        encode, task, seen = encoder(vocabulary, True).encode_batch, TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text").to_pylist()), strict=True):
-                raw += end
-                n, at = len(raw) // 4, 0
+            ids, ends = encode(batch.column("text").to_pylist())
+            raw = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+            bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).tolist()
+            for doc_id, (first, stop) in zip(batch.column("doc_id").to_pylist(), pairwise(bounds), strict=True):
+                n, at = stop - first, 0
                 for piece in range(-(-n // capacity)):
                     length = n - at if n - at <= capacity else (n % capacity or capacity) if piece == 0 else capacity
-                    rows.append((doc_id, piece, at, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), task, seen[length]))
+                    rows.append((doc_id, piece, at, length, zlib.crc32(raw[4 * (first + at) : 4 * (first + at + length)]), task, seen[length]))
                     seen[length] += 1
                     at += length
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _PIECES.types, strict=True)] if rows else [pa.array([], k) for k in _PIECES.types], schema=_PIECES)

@@ -12,9 +12,8 @@ File format, all Parquet in one folder of the shared store:
     of 1024 documents, packs, and the top.
 
 A rolling hash over 16 ids cuts each stream, so equal passages give equal chunks
-wherever they stand.  The ids of a chunk are stored once, in the row of its first
-owner (least document id, then row, then position); every other occurrence is a
-16-byte address.  Only addresses are shuffled to find owners, the ids themselves
+wherever they stand.  The ids of a chunk are stored once, in the row of its owner (least
+row number) at its first place there; every other occurrence is a 16-byte address.  Only addresses are shuffled to find owners, the ids themselves
 move once, to their range of document ids.  Reading back checks the manifest against
 the packs and every chunk held against its address, resolves every address and folds chunk CRCs into document
 CRCs, so no ids move then.
@@ -32,6 +31,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from hashlib import blake2b
+from itertools import accumulate, pairwise
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_and_text, new_path, parallelism, small_batches, staged
-from foliant.llm.tokens import encoder
+from foliant.llm.common import id_and_text, join_counted, new_path, parallelism, small_batches, staged
+from foliant.llm.tokens import encoder, forget
 
 #: Chunks of 64 to 1024 ids, 256 or so on average.
 LEAST, MASK, MOST = 64, np.uint64(0xFF), 1024
@@ -139,44 +140,62 @@ def _types(ddl: str) -> pa.Schema:
 
 def _encode(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all, end, schema = encoder(layout.vocabulary, layout.keeps_space).encode_all, np.array([layout.end_id], "<u4").tobytes(), _types(_STAGED)
+        encode, schema, width = encoder(layout.vocabulary, layout.keeps_space).encode_batch, _types(_STAGED), layout.width
         for batch in batches:
-            n_tokens, addrs, lens, data = [], [], [], []
-            for encoded in encode_all(batch.column("text").to_pylist()):
-                ids = np.frombuffer(encoded + end, "<u4")
-                raw, ends = ids.astype(layout.dtype).tobytes(), cuts(ids)
-                starts = [0, *ends[:-1]]
-                n_tokens.append(len(ids))
-                addrs.append(b"".join([address(raw[a * layout.width : b * layout.width]) for a, b in zip(starts, ends, strict=True)]))
-                lens.append(array("H", [b - a for a, b in zip(starts, ends, strict=True)]).tobytes())
-                data.append(raw)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), *(pa.array(x, k) for x, k in zip((n_tokens, addrs, lens, data), schema.types[2:], strict=True))], schema=schema)
+            ids, ends = encode(batch.column("text").to_pylist())
+            ids = np.insert(ids, ends, layout.end_id).astype("<u4")
+            bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+            raw = memoryview(ids.astype(layout.dtype).tobytes())
+            addrs, lens, data = [], [], []
+            for a, b in pairwise(bounds.tolist()):
+                stops = cuts(ids[a:b])
+                own, starts = raw[width * a : width * b], [0, *stops[:-1]]
+                addrs.append(b"".join([address(own[width * x : width * y]) for x, y in zip(starts, stops, strict=True)]))
+                lens.append(array("H", map(sub, stops, starts)).tobytes())
+                data.append(own)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), *(pa.array(x, k) for x, k in zip((np.diff(bounds), addrs, lens, data), schema.types[2:], strict=True))], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
 def _pack(layout: Layout):
     """Rows come in order, a document's list of chunks owned elsewhere just before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, pack, seq, start = _types(_PACKED), TaskContext.get().partitionId(), 0, 0
-        elsewhere, owner = frozenset(), None
+        schema, pack, seq, start, width = _types(_PACKED), TaskContext.get().partitionId(), 0, 0, layout.width
+        elsewhere, owner = (), None
+        forget()
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if row["addrs"] is None:
-                    elsewhere, owner = frozenset(row["elsewhere"]), row["rid"]
+            place, seqs, starts, held, kept, roots = [], [], [], [], [], []
+            for k, (rid, n_tokens, addrs, lens, data, other) in enumerate(_columns(batch, "rid", "n_tokens", "addrs", "lens", "data", "elsewhere")):
+                if addrs is None:
+                    elsewhere, owner = other, rid
                     continue
-                skip = elsewhere if owner == row["rid"] else frozenset()
-                held, data, at = [], [], 0
-                for k, n in enumerate(array("H", row["lens"])):
-                    if k not in skip:
-                        held.append(k)
-                        data.append(row["data"][at * layout.width : (at + n) * layout.width])
-                    at += n
-                rows.append({k: row[k] for k in ("doc_id", "rid", "n_tokens", "addrs", "lens")} | {"pack": pack, "seq": seq, "local_start": start, "held": held, "data": b"".join(data), "root": merkle(split_addresses(row["addrs"]))})
-                seq, start = seq + 1, start + row["n_tokens"]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                sizes, chunks = array("H", lens), split_addresses(addrs)
+                own = list(range(len(chunks)))
+                if len(set(chunks)) < len(chunks):  # first places only
+                    own = sorted({c: n for n, c in reversed(list(enumerate(chunks)))}.values())
+                if owner == rid:
+                    skip = set(elsewhere)
+                    own = [n for n in own if n not in skip]
+                if len(own) < len(chunks):
+                    ends = [0, *accumulate(sizes)]
+                    data = b"".join([data[width * ends[n] : width * ends[n + 1]] for n in own])
+                place.append(k)
+                seqs.append(seq)
+                starts.append(start)
+                held.append(own)
+                kept.append(data)
+                roots.append(merkle(chunks))
+                seq, start = seq + 1, start + n_tokens
+            rows = batch.take(pa.array(place, pa.int64()))
+            made = {"pack": [pack] * len(place), "seq": seqs, "local_start": starts, "held": held, "data": kept, "root": roots}
+            yield pa.record_batch([pa.array(made[f.name], f.type) if f.name in made else rows.column(f.name) for f in schema], schema=schema)
 
     return run
 
@@ -185,23 +204,24 @@ def _check_held(layout: Layout):
     """Reads packs: every chunk held is checked against its address."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _types(_READ)
+        schema, width, crc32 = _types(_READ), layout.width, zlib.crc32
+        forget()
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                addrs, lens = split_addresses(row["addrs"]), array("H", row["lens"])
-                if merkle(addrs) != row["root"]:
-                    raise ValueError(f"document {row['doc_id']}: its recipe does not match its root")
-                crcs, at, data = [None] * len(addrs), 0, row["data"]
-                wide = np.frombuffer(data, layout.dtype).astype("<u4").tobytes()
-                for k in row["held"]:
-                    end = at + lens[k]
-                    if address(data[at * layout.width : end * layout.width]) != addrs[k]:
-                        raise ValueError(f"document {row['doc_id']}: chunk {k} does not match its address")
-                    crcs[k] = zlib.crc32(wide[4 * at : 4 * end])
+            crcs = []
+            for doc_id, addrs, lens, held, data, root in _columns(batch, "doc_id", "addrs", "lens", "held", "data", "root"):
+                chunks, sizes = split_addresses(addrs), array("H", lens)
+                if merkle(chunks) != root:
+                    raise ValueError(f"document {doc_id}: its recipe does not match its root")
+                own, at = [None] * len(chunks), 0
+                wide, data = memoryview(np.frombuffer(data, layout.dtype).astype("<u4").tobytes()), memoryview(data)
+                for k in held:
+                    end = at + sizes[k]
+                    if address(data[width * at : width * end]) != chunks[k]:
+                        raise ValueError(f"document {doc_id}: chunk {k} does not match its address")
+                    own[k] = crc32(wide[4 * at : 4 * end])
                     at = end
-                rows.append({k: row[k] for k in schema.names if k != "crcs"} | {"crcs": crcs})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                crcs.append(own)
+            yield pa.record_batch([pa.array(crcs, f.type) if f.name == "crcs" else batch.column(f.name) for f in schema], schema=schema)
 
     return run
 
@@ -209,7 +229,7 @@ def _check_held(layout: Layout):
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crcs = []
-        for own, lens, rest in zip(*(batch.column(k).to_pylist() for k in ("crcs", "lens", "rest")), strict=True):
+        for own, lens, rest in _columns(batch, "crcs", "lens", "rest"):
             for x in rest or ():
                 own[x["pos"]] = x["crc"]
             crcs.append(crc32_joined([(c, 4 * n) for c, n in zip(own, array("H", lens), strict=True)]))
@@ -229,13 +249,9 @@ def write_store(docs: DataFrame, layout: Layout, path: str | None = None, id_col
     source = id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
     streams = staged(source.mapInArrow(_encode(layout), _STAGED), "token-streams")
     refs = streams.select("doc_id", "rid", F.posexplode(_recipe()).alias("pos", "addr"))
-    first = refs.groupBy("addr").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    others = (
-        refs.join(first, "addr")
-        .where(F.struct("doc_id", "rid", "pos") != F.col("first"))
-        .groupBy("doc_id", "rid")
-        .agg(F.collect_list("pos").alias("elsewhere"))  # at most the chunks of one document
-    )
+    owners = refs.groupBy("addr").agg(F.min("rid").alias("owner"), F.max("rid").alias("last"), F.count("*").alias("n")).where("owner <> last")
+    owners = staged(owners.drop("last"), "owners")
+    others = join_counted(refs, owners, ["addr"]).where("rid <> owner").groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("elsewhere"))  # at most the chunks of one document
     rows = streams.withColumn("elsewhere", F.lit(None).cast("array<int>")).unionByName(others, allowMissingColumns=True)
     packs = (
         rows.repartitionByRange(parallelism(spark), "doc_id", "rid")
@@ -274,9 +290,10 @@ def manifest_breaks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _breaks(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    stored = spark.read.parquet(f"{path}/manifest")
-    again = _nodes(rows.select("pack", "seq", "n_tokens", "root"))
-    return stored.exceptAll(again).unionByName(again.exceptAll(stored))
+    stored = spark.read.parquet(f"{path}/manifest").withColumn("times", F.lit(1))
+    again = _nodes(rows.select("pack", "seq", "n_tokens", "root")).withColumn("times", F.lit(-1))
+    nodes = stored.unionByName(again).groupBy("level", "pack", "block", "n_tokens", "root").agg(F.sum("times").alias("times"))
+    return nodes.where("times <> 0").drop("times")
 
 
 def read_store(spark: SparkSession, path: str, layout: Layout) -> DataFrame:

@@ -2,18 +2,23 @@
 
 No pre-tokenizer used here ever matches across a single space that has other
 characters on both sides, so a text's ids are the ids of its units in a row, and
-units repeat.  Each worker keeps the ids of the units it has met in a memo of
-bounded size and asks the tokenizer only for the rest.
+units repeat.  A batch of texts is cut into units, these are numbered, and the ids of
+all are gathered in a few vector steps; only units that a worker has not met yet
+(within a memo of bounded size) go through the tokenizer.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 from functools import cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BY_ITSELF = re.compile(r"^\s|\s$|\s\s")
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -30,20 +35,64 @@ def by_itself(text: str) -> bool:
 _SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """As Python strings; several times as fast as ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+#: Characters that are cut into units at a time.
+AT_ONCE = 1 << 20
+
+
+class IdLists:
+    """Lists of ids one after the other, found by number."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self._ids, self._starts, self._lengths = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used, self.count = 0, 0
+
+    def cut_to(self, count: int, used: int) -> None:
+        self.count, self.used = count, used
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of new lists, given together."""
+        while self.used + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
+        while self.count + len(lengths) > len(self._starts):
+            self._starts, self._lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self._starts, self._lengths))
+        own = slice(self.count, self.count + len(lengths))
+        self._ids[self.used : self.used + len(ids)] = ids
+        self._starts[own], self._lengths[own] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used, self.count = self.used + len(ids), self.count + len(lengths)
+        return np.arange(own.start, own.stop)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists in a row, and where each list ends."""
+        lengths = self._lengths[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self._starts[numbers] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self._ids[at], ends
+
+
 class UnitEncoder:
-    """``encode_all(texts)``: the ids of each as little-endian unsigned 32-bit integers.
+    """``encode_batch(texts)``: the ids of all texts in a row, and where each text ends.
 
     keeps_space: the tokenizer joins a leading space to the word that follows;
     then texts with white space at an end or twice in a row are encoded whole, and
-    a line's first unit is one with its line end (others drop line ends).  Texts that
-    hold an added token such as <|endoftext|> are encoded whole too.
+    a line's first unit is one with its line end (others drop line ends and put all in
+    lower case: ASCII letters can be so before texts are cut).  Texts that hold an added
+    token such as <|endoftext|> are encoded whole too.
     A unit of letters and closing symbols is put together from the two, which
     every pattern in use splits there.  Units of letters that are not known yet are
     encoded a few hundred at a time, in one text, and told apart by the tokens that
-    begin (or end) a word.  The memo has two generations of up to ``most`` units.
+    begin (or end) a word.  The memo has up to ``most`` units and then begins anew.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 500_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,103 +100,144 @@ class UnitEncoder:
         self._keeps_space, self._most = keeps_space, most
         self._added = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._marks = {re.match(r"\W*", c)[0] for c in self._added}
-        self._memo: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-        self._tails: dict[str, bytes] = {}
+        self._memo: dict[str, int] = {}
+        self._lists = IdLists()
         tokens = [self._tokenizer.id_to_token(k) or "" for k in range(self._tokenizer.get_vocab_size())]
-        self._line_end = np.array([t == "\u010a" for t in tokens])
-        self._edge = np.array([t.startswith("\u0120") if keeps_space else t.endswith("</w>") for t in tokens])
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ask_words(self, words: list[str], at_once: int = 200) -> list[bytes]:
-        """Units of letters, each with its leading space if that is kept."""
-        if not self._keeps_space:
-            return self._ask_joined(words, words, " ", self._edge, at_once)
-        texts = [f" {w}" for w in words]
-        return self._ask_joined(words, texts, "", self._edge, at_once)
-
-    def _ask_joined(self, words: list[str], texts: list[str], between: str, edge: np.ndarray, at_once: int) -> list[bytes]:
-        """Ids of texts, encoded many at a time where the edges show which are whose."""
-        parts = [texts[k : k + at_once] for k in range(0, len(words), at_once)]
-        out = []
-        for part, raw in zip(parts, self._ask([between.join(p) for p in parts]), strict=True):
-            edges = np.flatnonzero(edge[np.frombuffer(raw, "<u4")])
-            starts = edges if self._keeps_space else np.concatenate([[0], edges[:-1] + 1])
-            if len(edges) == len(part) and starts[0] == 0 and (self._keeps_space or edges[-1] == len(raw) // 4 - 1):
-                ends = [*(4 * starts[1:]).tolist(), len(raw)]
-                out += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+        self._line_end = np.array([t == "Ċ" for t in tokens])
+        self._edge = np.array([t.startswith("Ġ") if keeps_space else t.endswith("</w>") for t in tokens])
+
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, and how many each has."""
+        ids, lengths = array("I"), []
+        for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            own = e.ids
+            ids.extend(own)
+            lengths.append(len(own))
+        return np.array(ids, np.uint32), np.array(lengths, np.int64)
+
+    def _ask_joined(self, texts: list[str], between: str, edge: np.ndarray, at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """The same of short texts, encoded many at a time where the edges show which are whose."""
+        parts = [texts[k : k + at_once] for k in range(0, len(texts), at_once)]
+        all_ids, lengths = self._ask([between.join(p) for p in parts])
+        out_ids, out_lengths, at = [], [], 0
+        for part, n in zip(parts, lengths.tolist(), strict=True):
+            ids = all_ids[at : at + n]
+            at += n
+            edges = np.flatnonzero(edge[ids])
+            bounds = np.append(edges, n) if self._keeps_space else np.concatenate([[0], edges + 1])
+            if len(edges) == len(part) and bounds[0] == 0 and bounds[-1] == n:
+                own = np.diff(bounds)
             else:
-                out += self._ask(part)
-        return out
+                ids, own = self._ask(part)
+            out_ids.append(ids)
+            out_lengths.append(own)
+        return (np.concatenate(out_ids), np.concatenate(out_lengths)) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
     def _holds_added(self, text: str) -> bool:
         """Whether an added token stands in the text, in any case: in lower case it would read as one."""
         return any(m in text for m in self._marks) and any(c in text.lower() for c in self._added)
 
-    def _is_word(self, unit: str) -> bool:
-        return unit.isalpha() and (unit.isascii() or unit.lower().isalpha())
+    def _keep(self, units: list[str], found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        numbers = self._lists.add(*found)
+        self._memo.update(zip(units, numbers.tolist(), strict=True))
+        return numbers
+
+    def _cores(self, cores: pa.StringArray, ask) -> np.ndarray:
+        """Numbers of units of letters, of which some may repeat or be known."""
+        kinds = cores.dictionary_encode()
+        names = _strings(kinds.dictionary)
+        found = np.fromiter(map(self._memo.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            words = [names[k] for k in new.tolist()]
+            found[new] = self._keep(words, ask(words))
+        return found[kinds.indices.to_numpy()]
 
-    def _tail(self, symbols: str) -> bytes:
-        """Ids of closing symbols; only short ones are kept, and of these a few thousand."""
-        found = self._tails.get(symbols)
-        if found is None:
-            found = self._ask([symbols])[0]
-            if len(symbols) <= 8 and len(self._tails) < 4096:
-                self._tails[symbols] = found
+    def _learn(self, units: pa.StringArray) -> np.ndarray:
+        """Numbers of units that the memo does not have, each once."""
+        line = pc.starts_with(units, "\n") if self._keeps_space else pa.repeat(False, len(units))
+        core = pc.utf8_rtrim(units, _SYMBOLS)
+        letters = pc.if_else(line, pc.utf8_slice_codeunits(core, 1), core)
+        is_word = pc.utf8_is_alpha(letters).to_numpy(zero_copy_only=False).copy()
+        other = pc.invert(pc.string_is_ascii(letters)).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(is_word & other).tolist():  # lower case can add marks
+            is_word[k] = letters[k].as_py().lower().isalpha()
+        begins = line.to_numpy(zero_copy_only=False)
+        numbers = np.empty(len(units), np.int64)
+        # units of letters, each with its leading space if that is kept
+        spaced = (lambda w: self._ask_joined([f" {x}" for x in w], "", self._edge)) if self._keeps_space else (lambda w: self._ask_joined(w, " ", self._edge))
+        for own, ask in ((is_word & ~begins, spaced), (is_word & begins, lambda w: self._ask_joined(w, "", self._line_end))):
+            numbers[own] = self._cores(core.filter(pa.array(own)), ask)
+        rest = _strings(units.filter(pa.array(~is_word)))
+        numbers[~is_word] = self._keep(rest, self._ask([f" {u}" if self._keeps_space and u[:1] != "\n" else u for u in rest]))
+        closed = is_word & pc.not_equal(pc.binary_length(units), pc.binary_length(core)).to_numpy(zero_copy_only=False)
+        if closed.any():
+            names = _strings(units.filter(pa.array(closed)))
+            bare = pc.utf8_length(core.filter(pa.array(closed))).to_pylist()
+            marks = pa.array([u[n:] for u, n in zip(names, bare, strict=True)], pa.string()).dictionary_encode()
+            count, used = self._lists.count, self._lists.used
+            tails = self._lists.add(*self._ask(_strings(marks.dictionary)))
+            ids, ends = self._lists.gather(np.column_stack([numbers[closed], tails[marks.indices.to_numpy()]]).ravel())
+            self._lists.cut_to(count, used)
+            numbers[closed] = self._keep(names, (ids, np.diff(ends[1::2], prepend=0)))
+        return numbers
+
+    def _numbers(self, units: pa.StringArray) -> np.ndarray:
+        names = _strings(units)
+        found = np.fromiter(map(self._memo.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if len(self._memo) + len(new) > self._most:
+                self._memo.clear()
+                self._lists.clear()
+                new = np.arange(len(names))
+            found[new] = self._learn(units.take(pa.array(new)))
         return found
 
-    def _learn(self, units: set[str]) -> None:
-        memo = self._memo
-        new = [u for u in units if u not in memo]
-        if len(memo) + len(new) > self._most:
-            self._older, self._memo = memo, {}
-            memo, new = self._memo, list(units)
-        older, words, firsts, rest, closed = self._older, set(), set(), [], []
-        for unit in new:
-            if (known := older.get(unit)) is not None:
-                memo[unit] = known
-                continue
-            core = unit.rstrip(_SYMBOLS)
-            first = core[:1] == "\n"
-            if not self._is_word(core[1:] if first else core):
-                rest.append(unit)
-                continue
-            if core != unit:
-                closed.append((unit, core))
-            if core not in memo:
-                (firsts if first else words).add(core)
-        words, firsts = list(words), list(firsts)
-        memo.update(zip(words, self._ask_words(words), strict=True))
-        memo.update(zip(firsts, self._ask_joined(firsts, firsts, "", self._line_end, 200), strict=True))
-        memo.update(zip(rest, self._ask([f" {u}" if self._keeps_space and u[:1] != "\n" else u for u in rest]), strict=True))
-        for unit, core in closed:
-            memo[unit] = memo[core] + self._tail(unit[len(core) :])
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A million characters at a time (one text at least), which bounds what is held besides the ids."""
+        parts, held = [[]], 0
+        for text in texts:
+            if held and held + len(text) > AT_ONCE:
+                parts.append([])
+                held = 0
+            parts[-1].append(text)
+            held += len(text)
+        found = [self._encode_part(p) for p in parts]
+        before = np.cumsum([0, *(len(ids) for ids, _ in found[:-1])]).tolist()
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([ends + n for (_, ends), n in zip(found, before, strict=True)])
+
+    def _encode_part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        alone = [k for k, t in enumerate(texts) if (self._keeps_space and by_itself(t)) or self._holds_added(t)]
+        cut = list(texts)
+        for k in alone:
+            cut[k] = ""
+        column = pa.array(cut, pa.string())
+        column = pc.replace_substring(column, "\n", " \n") if self._keeps_space else pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+        lists = pc.split_pattern(column, " ")
+        units = lists.flatten().dictionary_encode()
+        numbers = self._numbers(units.dictionary)[units.indices.to_numpy()]
+        offsets = lists.offsets.to_numpy()
+        count, used = self._lists.count, self._lists.used
+        if self._keeps_space:  # a text's first unit has no space before it
+            numbers[offsets[:-1]] = self._lists.add(*self._ask([units.dictionary[k].as_py() for k in units.indices.to_numpy()[offsets[:-1]].tolist()]))
+        ids, ends = self._lists.gather(numbers)
+        self._lists.cut_to(count, used)
+        ends = ends[offsets[1:] - 1]
+        if alone:
+            own, lengths = self._ask([texts[k] for k in alone])
+            parts, own = np.split(ids, ends[:-1]), np.split(own, np.cumsum(lengths)[:-1])
+            for k, x in zip(alone, own, strict=True):
+                parts[k] = x
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        units, seen, alone = [], set(), []
-        for text in texts:
-            own = []
-            if (self._keeps_space and by_itself(text)) or self._holds_added(text):
-                alone.append(len(units))
-            elif self._keeps_space:
-                own = text.replace("\n", " \n").split(" ")
-            else:
-                # the tokenizer puts all in lower case: ASCII can be so before it is cut into units
-                own = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-            units.append(own)
-            seen.update(own[1:] if self._keeps_space else own)
-        self._learn(seen)
-        get = self._memo.__getitem__
-        if self._keeps_space:
-            heads = self._ask([u[0] if u else "" for u in units])
-            out = [h + b"".join(map(get, u[1:])) for h, u in zip(heads, units, strict=True)]
-        else:
-            out = [b"".join(map(get, u)) for u in units]
-        for k, raw in zip(alone, self._ask([texts[k] for k in alone]), strict=True):
-            out[k] = raw
-        return out
+        """Of each text, its ids as little-endian unsigned 32-bit integers."""
+        ids, ends = self.encode_batch(texts)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])] if texts else []
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -159,6 +249,14 @@ def encoder(path: str, keeps_space: bool) -> UnitEncoder:
     return UnitEncoder(path, keeps_space)
 
 
+def forget() -> None:
+    """Gives back what encoders hold in this worker: later steps of a job need the room."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
