@@ -16,8 +16,8 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in local mode) a temporary one is
-    made and set.
+    Where the session names none, a temporary one is made and set in local mode (tests);
+    on a cluster that is an error, for executors would write to disks of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
     path = "file://" + tempfile.mkdtemp(prefix="foliant-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -65,13 +67,27 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], share: in
     return spread.unionByName(dealt)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: a batch of long texts must fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def join_salted(rows: DataFrame, wide: DataFrame, key: str, by: str, counted: DataFrame, share: int = 1000) -> DataFrame:
+    """Inner join with ``wide``, one row a key and of any width, on a key that may hold any share of ``rows``.
+
+    counted: the keys of the rows, once a row.  A key with more than one in ``share`` of the rows
+    (fewer than ``share`` keys) is dealt by column ``by`` over as many parts as it holds such
+    shares; its wide row is repeated for each, in all at most twice ``share`` times.
+    """
+    counts = staged(counted.groupBy(key).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(counts.where(F.col("n") * share > total).select(key, F.ceil(F.col("n") * share / F.lit(max(total, 1))).cast("int").alias("parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0)).cast("int")
+    dealt = rows.join(heavy, key, "left").withColumn("part", part).drop("parts")
+    repeated = wide.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(repeated, [key, "part"])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table of a query.  Queries keep Arrow batches small, as a batch of long texts
+    must fit a worker beside others; operators called otherwise leave settings as they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -31,7 +31,13 @@ Result: doc_id, class_id (least doc_id of its class), class_size, copy_of (least
 doc_id with the same words).  Null text counts as empty; all empty texts are
 copies of each other.  Rows that repeat an id give a row each, and a link of one is a
 link of that id.  A null id is no one's class; it has that of a text it copies, if any.
-Other columns are not read.
+class_size counts rows, null for a null class.  Texts are read whole; an empty table
+gives no rows.  Other columns are not read, but ``keep_one`` returns them (a column
+``__rid`` is not allowed).
+
+Large groups.  Keys that may hold any share of the rows (a bucket, a class, the copies
+of one text, a leader's followers) are joined by broadcast of fewer than a thousand keys,
+or dealt over as many parts as they hold thousandths.
 """
 
 from __future__ import annotations
@@ -44,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_and_text, small_batches, staged
+from foliant.llm.common import id_and_text, join_counted, join_salted, staged
 from foliant.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -224,7 +230,9 @@ _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64()), (
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, their exact similarity, sizes, common part, and what b has beyond a."""
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    joined = pairs.join(of("b"), "b").join(of("a"), "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
+    pairs = staged(pairs, "pairs")
+    # one text may lead a large share of all
+    joined = join_salted(pairs.join(of("b"), "b"), of("a"), "a", "b", pairs).sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(_compare, "a long, b long, sim double, n_a long, n_b long, common long, beyond array<long>")
 
 
@@ -234,10 +242,14 @@ _STEP = 1.03  # between bins of sizes
 
 
 def _led(buckets: DataFrame) -> DataFrame:
-    """key, leader, doc_id of a bucket's others; the member that shares most leads."""
-    fame = buckets.join(buckets.groupBy("key").count(), "key").groupBy("doc_id").agg(F.sum("count").alias("fame"))
-    top = buckets.join(fame, "doc_id").groupBy("key").agg(F.max(F.struct("fame", (-F.col("doc_id")).alias("less"))).alias("top"))
-    return buckets.join(top.select("key", (-F.col("top.less")).alias("leader")), "key").where("doc_id <> leader").select("key", "leader", "doc_id")
+    """key, leader, doc_id of a bucket's others; the member that shares most leads.
+
+    buckets: key, doc_id, n (members of the bucket).
+    """
+    fame = buckets.groupBy("doc_id").agg(F.sum("n").alias("fame"))
+    top = buckets.join(fame, "doc_id").groupBy("key").agg(F.max(F.struct("fame", (-F.col("doc_id")).alias("less"))).alias("top"), F.count("*").alias("n"))
+    leaders = staged(top.select("key", "n", (-F.col("top.less")).alias("leader")), "leaders")
+    return join_counted(buckets.select("key", "doc_id"), leaders, ["key"]).where("doc_id <> leader").select("key", "leader", "doc_id")
 
 
 def _smaller(rows: DataFrame) -> DataFrame:
@@ -280,7 +292,8 @@ def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     reps: doc_id and its bands, one row for each different text.
     """
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = staged(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key"), "buckets")
+    shared = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    buckets = staged(join_counted(rows, shared, ["key"]), "buckets")
     # only texts that share a bucket are compared: the rest does not move again
     texts = staged(texts.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
     led = _led(buckets).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -301,21 +314,25 @@ def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, class_id, copy_of: one row a document."""
-    small_batches(docs.sparkSession)
+    """doc_id, class_id, class_size, copy_of: one row a document."""
     texts = id_and_text(docs, id_col, text_col)
     signed = staged(texts.mapInArrow(_sign, "doc_id long, words_key binary, bands array<long>"), "signed")
-    reps = staged(signed.groupBy("words_key").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")), "different")
+    reps = staged(signed.groupBy("words_key").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.count("*").alias("n")), "different")
     roots = components(links(reps.select("doc_id", "bands"), texts))
-    classed = reps.select("words_key", F.col("doc_id").alias("copy_of")).join(roots.select(F.col("id").alias("copy_of"), F.col("root").alias("class_id")), "copy_of", "left").withColumn("class_id", F.coalesce("class_id", "copy_of"))
-    return signed.select("doc_id", "words_key").join(classed, "words_key").select("doc_id", "class_id", "copy_of")
+    own = reps.select("words_key", "n", F.col("doc_id").alias("copy_of")).join(roots.select(F.col("id").alias("copy_of"), F.col("root").alias("class_id")), "copy_of", "left")
+    own = staged(own.withColumn("class_id", F.coalesce("class_id", "copy_of")), "kinds")
+    # both a class of near copies and one text's copies may be a large share of all
+    sizes = staged(own.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count("*").alias("n")), "sizes")
+    sized = join_counted(own.withColumnRenamed("n", "copies"), sizes, ["class_id"]).drop("n").withColumnRenamed("copies", "n")
+    nameless = own.where("class_id is null").withColumn("class_size", F.lit(None).cast("long"))
+    own = staged(sized.unionByName(nameless), "classed")
+    found = join_counted(signed.select("doc_id", "words_key"), own, ["words_key"])
+    return found.select("doc_id", "class_id", "class_size", "copy_of")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, class_size, copy_of: one row a document."""
-    out = _classed(docs, id_col, text_col)
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size", "copy_of")
+    return _classed(docs, id_col, text_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_and_text, small_batches, staged
+from foliant.llm.common import id_and_text, staged
 from foliant.llm.tokens import encoder
 
 GROUPS, SMALL_SHARE = 1024, 16
@@ -220,7 +220,6 @@ def _place(planned: dict[int, np.ndarray]):
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
-    small_batches(docs.sparkSession)
     pieces = staged(id_and_text(docs, id_col, text_col).mapInArrow(_cut(vocabulary, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, at long"), "pieces")
     counts = pieces.groupBy("task", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows

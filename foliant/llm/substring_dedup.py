@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_and_text, join_counted, small_batches, staged
+from foliant.llm.common import id_and_text, join_counted, staged
 from foliant.llm.near_dedup import WordHash, _mix
 
 WINDOW, PHRASE = 35, 8
@@ -222,7 +222,6 @@ def _runs(texts: DataFrame, window: int, phrase: int, name: str) -> DataFrame:
 
 def factors(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ref_rid, ref_start, rid: a row a factor, places in words."""
-    small_batches(docs.sparkSession)
     texts = _numbered(docs, id_col, text_col)
     runs = _runs(texts.select("rid", "text"), window, phrase, "runs")
 
@@ -269,7 +268,6 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row a document."""
-    small_batches(docs.sparkSession)
     texts = _numbered(docs, id_col, text_col)
     runs = _runs(texts.select("rid", "text"), window, phrase, "runs")
     return texts.join(runs, "rid", "left").select("rid", "doc_id", "text", "runs").mapInArrow(_rebuild(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -278,7 +276,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: s
 def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, their texts without repeated passages: as they were where
     nothing went, else the words kept, joined by one space."""
-    small_batches(docs.sparkSession)
     numbered = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
     own = numbered.select(F.col("__rid").alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     runs = _runs(own, window, phrase, "__runs").withColumnRenamed("rid", "__rid")

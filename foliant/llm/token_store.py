@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_and_text, join_counted, new_path, parallelism, small_batches, staged
+from foliant.llm.common import id_and_text, join_counted, new_path, parallelism, staged
 from foliant.llm.tokens import encoder, forget
 
 #: Chunks of 64 to 1024 ids, 256 or so on average.
@@ -244,7 +244,6 @@ def _recipe(addrs: str = "addrs") -> Column:
 def write_store(docs: DataFrame, layout: Layout, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode ``docs`` and write the store; returns its path."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or new_path(spark, "token-store")
     source = id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
     streams = staged(source.mapInArrow(_encode(layout), _STAGED), "token-streams")
@@ -300,7 +299,6 @@ def read_store(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """Per document, from the files: start, n_tokens and the CRC-32 of its ids as
     unsigned 32-bit integers, with the chunks of its recipe and how many of them
     another document holds.  Fails if a node of the manifest is not what the packs give."""
-    small_batches(spark)
     read = staged(packs_of(spark, path).mapInArrow(_check_held(layout), _READ), "store-read")
     broken = _breaks(spark, path, read).select("level", "pack", "block").take(3)
     if broken:
