@@ -8,8 +8,10 @@ interlace, transparency and disposal, giving the canvas after each frame.
 turns a column of GIFs into one row a frame, with its time and colour histogram.
 
 Null text counts as empty and is stored as one row of spaces.  Equal texts give
-equal bytes.  A stored form that is null or no GIF gives no frames and a reason.
-Repeated ids are kept; other columns are not read.
+equal bytes.  Very long texts become frames of at most 786 432 samples each, one after the
+other.  A stored form that is null or no GIF, or whose canvas or frame has more than
+``MOST_SAMPLES`` samples, gives a reason in place of frames.  Repeated rows are kept, empty
+tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import id_and_text
 
 ROW, ROWS_PER_FRAME, DELAY = 192, 4096, 10
+#: Samples of a canvas or frame; a larger one is refused, as it would not fit a worker.
+MOST_SAMPLES = 1 << 25
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
@@ -209,7 +213,7 @@ class Frame:
     canvas: np.ndarray
 
 
-def decode_gif(data: bytes, most_samples: int = 1 << 28) -> Iterator[Frame]:
+def decode_gif(data: bytes, most_samples: int = MOST_SAMPLES) -> Iterator[Frame]:
     """The frames in order.  Raises GifError for what can't be read; a stream that
     ends early gives what it has, the rest of its frame undrawn."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:

@@ -140,6 +140,15 @@ def test_gif_round_trip(docs, texts, empty):
     assert media_gif.payload_rows(empty).count() == 0
 
 
+def test_gif_of_long_texts_and_large_canvases(spark):
+    long = "0123456789 ABCDEF " * 90_000  # more than two frames
+    rows = media_gif.payload_rows(spark.createDataFrame([(1, long, "clash"), (1, long, "clash")], "doc_id long, text string, media string"), keep_media=True).collect()
+    assert [r["payload_sha256"] for r in rows] == [hashlib.sha256((long + " " * (-len(long) % 192)).encode()).hexdigest()] * 2
+    frames = media_gif.frame_rows(spark.createDataFrame([(1, bytes(rows[0]["media"])), (2, b"GIF89a" + b"\xff\xff\xff\xff" + bytes(9))], "id long, media binary"), "id", "media").collect()
+    assert [(r["frame"], r["start_cs"]) for r in frames if r["media_id"] == 1] == [(0, 0), (1, 10), (2, 20)]
+    assert [r["reason"] for r in frames if r["media_id"] == 2] == ["canvas too large"]
+
+
 def test_gif_decoder_rules(spark):
     import struct
 
