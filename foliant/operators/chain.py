@@ -6,6 +6,10 @@ does not: the recorded hash is the predecessor, so one window suffices.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +17,16 @@ from foliant.functions.text import _c
 
 
 def json_string(x) -> Column:
-    """A JSON string of text without control characters other than line ends and tabs; null as null."""
+    """Canonical JSON of text; null as null.  Control characters are written as JSON wants them."""
     out = _c(x)
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    named = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+    for plain, escaped in named.items():
         out = F.replace(out, F.lit(plain), F.lit(escaped))
+    rest = out
+    for code in range(32):
+        if chr(code) not in named:
+            rest = F.replace(rest, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    out = F.when(out.rlike(r"[\x00-\x1f]"), rest).otherwise(out)
     return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
 
 
@@ -31,22 +41,31 @@ def chain_hash(prev, payload) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.coalesce(_c(prev), F.lit("")), _c(payload)), 256))
 
 
-def seal(ops: DataFrame, key: str, genesis=None) -> DataFrame:
-    """key, seq, payload, prev_hash, hash: each log sealed in the order of its ``seq``."""
-    first = F.lit(None).cast("string") if genesis is None else _c(genesis)
-    logs = ops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("ops"), *([] if genesis is None else [F.first(first).alias("genesis")]))
-    start = F.lit(None).cast("string") if genesis is None else F.col("genesis")
-    empty = F.expr("cast(array() as array<struct<seq:bigint,payload:string,prev_hash:string,hash:string>>)")
-    sealed = F.aggregate(
-        "ops",
-        F.struct(start.alias("prev"), empty.alias("out")),
-        lambda acc, o: F.struct(
-            chain_hash(acc["prev"], o["payload"]).alias("prev"),
-            F.concat(acc["out"], F.array(F.struct(o["seq"].cast("bigint").alias("seq"), o["payload"].alias("payload"), acc["prev"].alias("prev_hash"), chain_hash(acc["prev"], o["payload"]).alias("hash")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return logs.select(key, F.inline(sealed))
+def seal(ops: DataFrame, key: str, genesis: str | None = None) -> DataFrame:
+    """key, seq, payload, prev_hash, hash: each log sealed in the order of its ``seq``.
+
+    A log goes through one task, as each hash holds the one before, but as a stream of
+    sorted rows: time is in proportion to its length and only its last hash is held.
+    genesis: a column with the first record's predecessor.
+    """
+    start = F.lit(None).cast("string") if genesis is None else F.col(genesis)
+    source = ops.select(F.col(key).alias("key"), F.col("seq").cast("long").alias("seq"), F.col("payload").cast("string").alias("payload"), start.cast("string").alias("genesis"))
+    kind = source.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, prev = object(), None
+        for batch in batches:
+            before, own = [], []
+            for k, payload, first in zip(*(batch.column(c).to_pylist() for c in ("key", "payload", "genesis")), strict=True):
+                if k != last:
+                    last, prev = k, first
+                before.append(prev)
+                prev = "sha256:" + sha256(((prev or "") + (payload or "")).encode("utf-8", "surrogatepass")).hexdigest()
+                own.append(prev)
+            yield pa.record_batch([batch.column("key"), batch.column("seq"), batch.column("payload"), pa.array(before, pa.string()), pa.array(own, pa.string())], names=["key", "seq", "payload", "prev_hash", "hash"])
+
+    in_order = source.repartition("key").sortWithinPartitions("key", "seq")
+    return in_order.mapInArrow(run, f"key {kind}, seq long, payload string, prev_hash string, hash string").withColumnRenamed("key", key)
 
 
 def first_break(sealed: DataFrame, key: str, genesis=None) -> DataFrame:

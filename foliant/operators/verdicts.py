@@ -1,4 +1,4 @@
-"""Receipts, verdicts, the gate and attestations.
+"""Verdicts, the gate and attestations over rows.
 
 Null is a third value throughout: unknown, never false.
 """
@@ -8,7 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import _c
+from foliant.functions.text import MOST_TTL, _c
+from foliant.operators.digests import is_editable_part, is_tracked_part
+
+#: Fixed value: how the note of a direct change begins that says what it is.
+DISCLOSURE = "direct-mode edit in a revision-capable part"
+MOST_ID = 2**31 - 1
 
 
 def outcome(has_receipt, readable, canon_ok, t1, t2, t3, gate, forced) -> Column:
@@ -21,24 +26,29 @@ def exit_code(outcome_col) -> Column:
     return F.when(_c(outcome_col) == "verified", 0).otherwise(1)
 
 
-def verify(docs: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Documents (doc, digest) against receipts (result_digest, gate, forced)."""
-    joined = docs.join(receipts, docs["digest"] == receipts["result_digest"], "left")
-    out = F.when(F.col("result_digest").isNull(), "unknown").when((F.col("gate") == "passed") & ~F.col("forced"), "verified").otherwise("failed")
-    return joined.withColumn("outcome", out).withColumn("exit_code", exit_code("outcome"))
-
-
 def gate_ok(accountability, visibility, structural) -> Column:
     no = lambda x: F.coalesce(~_c(x), F.lit(False))
     return _c(accountability) & ~no(visibility) & ~no(structural)
 
 
-def attestation(ok, force, owed, disclosed) -> Column:
-    """gate, forced, refused: a missing disclosure refuses, even under force."""
+def owes_disclosure(mode, part) -> Column:
+    """Direct changes of any kind, in parts where a reader could expect to see them."""
+    return F.coalesce((_c(mode) == "direct") & (is_tracked_part(part) | is_editable_part(part)), F.lit(False))
+
+
+def silent_operations(ops: DataFrame, key: str) -> DataFrame:
+    """key, silent: numbers of operations (mode, part, note, n) that owe a disclosure and have none, in order."""
+    silent = owes_disclosure("mode", "part") & ~F.contains(F.coalesce("note", F.lit("")), F.lit(DISCLOSURE))
+    return ops.groupBy(key).agg(F.array_sort(F.collect_list(F.when(silent, F.col("n")))).alias("silent"))
+
+
+def attestation(ok, force, silent) -> Column:
+    """gate, forced, refused: an operation that owes a disclosure and has none refuses, even under force; a note
+    on another operation does not make up for it."""
     return F.struct(
         F.when(_c(ok), "passed").otherwise("failed").alias("gate"),
         (~_c(ok) & _c(force)).alias("forced"),
-        ((_c(owed) > _c(disclosed)) | (~_c(ok) & ~_c(force))).alias("refused"),
+        ((F.size(silent) > 0) | (~_c(ok) & ~_c(force))).alias("refused"),
     )
 
 
@@ -73,13 +83,14 @@ def batch_outcomes(edits: DataFrame, key: str, n: str, failed) -> DataFrame:
     return edits.withColumn("first_failed", first).withColumn("result", F.when(F.col("first_failed").isNull(), "applied").when(F.col(n) < F.col("first_failed"), "discarded").when(F.col(n) == F.col("first_failed"), "failed").otherwise("not attempted"))
 
 
-def sweep_class(is_link, is_session, meta_state, age_s, held, expired, journal_ops, young_s: int = 3600) -> Column:
-    """What a sweep does with a session directory; the first rule that holds."""
+def sweep_class(is_link, is_session, meta_state, age_s, held, expired, journal_ops, young_s: int = MOST_TTL) -> Column:
+    """What a sweep does with a session directory; the first rule that holds.  A directory without meta
+    data is kept while it could still be a live session's: as long as the longest lease."""
     return (
         F.when(_c(is_link), "kept: a link")
         .when(~_c(is_session), "kept: no session")
         .when(_c(meta_state) == "unreadable", "kept: unreadable")
-        .when(_c(meta_state) == "absent", F.when(_c(held) | (_c(age_s) < young_s), "kept: young or held").otherwise("removed"))
+        .when(_c(meta_state) == "absent", F.when(_c(age_s).isNull() | _c(held) | (_c(age_s) < young_s), "kept: young or held").otherwise("removed"))
         .when(~_c(expired), "kept: live")
         .when(_c(held), "kept: held")
         .when(_c(journal_ops).isNull() | (_c(journal_ops) > 0), "kept: unsealed operations")
@@ -94,12 +105,21 @@ def continuity(chunks: DataFrame, key: str, order: str, offset: str, size: str)
 
 
 def allocate(ops: DataFrame, key: str, n: str, needed: str, base: str) -> DataFrame:
-    """The first and last id that each operation takes, in order, above ``base``."""
+    """The first and last id that each operation takes, in order, above ``base``, and whether they are refused
+    as there is none left below 2^31."""
     w = Window.partitionBy(key).orderBy(n).rowsBetween(Window.unboundedPreceding, 0)
-    return ops.withColumn("last_id", F.col(base) + F.sum(needed).over(w)).withColumn("first_id", F.col("last_id") - F.col(needed) + 1)
+    out = ops.withColumn("last_id", F.col(base) + F.sum(needed).over(w)).withColumn("first_id", F.col("last_id") - F.col(needed) + 1)
+    return out.withColumn("refused", F.col("last_id") > MOST_ID)
 
 
 def outermost(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans that no other span holds: those from the running greatest end on."""
     w = Window.partitionBy(*keys).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("reach", F.coalesce(F.max("end").over(w), F.lit(-1))).where("start >= reach").drop("reach")
+
+
+def rejected_texts(segments: DataFrame, keys: list[str], order: str, text_col: str, revision, own) -> DataFrame:
+    """keys, text of paragraphs as if revisions had been rejected: inserted text of one's own goes, deleted text stays."""
+    goes = (_c(revision) == "ins") & _c(own)
+    kept = F.array_sort(F.collect_list(F.when(~F.coalesce(goes, F.lit(False)), F.struct(F.col(order), F.col(text_col)))))  # the segments of one paragraph
+    return segments.groupBy(*keys).agg(F.array_join(F.transform(kept, lambda x: x[text_col]), "").alias("text"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.operators import chain, digests, search, verdicts
+from foliant.operators import chain, digests, receipts as store, search, sessions, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,11 +72,47 @@ def verify_outcomes(spark, sf_dir):
     return joined.withColumn("outcome", verdict).groupBy("lang", "outcome").agg(F.count("*").alias("docs"), F.countDistinct("digest").alias("digests"))
 
 
-@query(f"with {V} select doc_id, outcome, case when outcome = 'verified' then 0 else 1 end as exit_code from v")
+def _found(spark, sf_dir) -> DataFrame:
+    """Documents with receipts as the store gives them: every fifth digest moved on, every seventh chain broken."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), X.digest_of("text").alias("digest"))
+    k, none = F.col("doc"), F.lit(None)
+    r = receipts(spark, sf_dir).withColumnRenamed("doc_id", "doc")
+    return docs.join(r, "doc", "left").select(
+        "doc", "digest", F.when(F.col("gate").isNotNull(), "r").alias("name"), F.when(k % 11 == 0, "damaged").alias("reason"), F.when(k % 13 == 0, "other").otherwise("canon").alias("canon"),
+        F.when(k % 5 == 0, "moved").otherwise(F.col("digest")).alias("result_digest"), F.when(k % 7 == 0, 3).alias("break_seq"), F.when(k % 4 == 0, k % 8 == 0).alias("provenance_intact"), F.when(k % 4 == 0, "{}").alias("provenance"),
+        F.lit("base").alias("baseline_digest"), "gate", "forced", F.when(F.col("gate") == "failed", F.array(F.lit("f"))).otherwise(F.array().cast("array<string>")).alias("gate_failures"),
+        F.array(F.lit("x"), F.when(k % 2 == 0, verdicts.DISCLOSURE).otherwise("")).alias("notes"), none.cast("map<string,string>").alias("result_parts"),
+    )
+
+
+_FOUND = """f as (select d.doc_id as doc, l.doc_id is not null as has, d.doc_id % 11 > 0 as readable, d.doc_id % 13 > 0 as canon_ok, d.doc_id % 5 > 0 as t1, d.doc_id % 7 > 0 and not (d.doc_id % 4 = 0 and d.doc_id % 8 > 0) as t2,
+  case d.doc_id % 6 when 0 then d.doc_id % 12 = 0 when 1 then true when 2 then false end as t3, l.quality = 1 as passed, l.toxic = 1 as forced from documents d left join labels l using (doc_id))"""
+
+
+def _baselines(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """The store has one baseline, as recorded; every sixth document is given another original, or the same, or one that can't be read."""
+    stored = spark.createDataFrame([("none", "none", None)], "digest string, found_digest string, unreadable string")
+    k = F.col("doc") % 6
+    given = found.where(k < 3).select("doc", F.when((k == 1) | ((k == 0) & (F.col("doc") % 12 == 0)), "base").when(k == 0, "other").alias("found_digest"), F.when(k == 2, "torn").alias("unreadable"))
+    return store.with_baselines(found, stored, given)
+
+
+_REASONS = """case when not has then 1 when not readable or not canon_ok then 1 else (not t1)::int + (not (doc % 7 > 0))::int + (doc % 4 = 0 and doc % 8 > 0)::int + (t3 is false)::int + (not passed)::int + forced::int end"""
+
+
+@query(
+    f"""with {_FOUND} select doc as doc_id, case when not has then 'unknown' when readable and canon_ok and t1 and t2 and coalesce(t3, true) and passed and not forced then 'verified' else 'failed' end as outcome,
+case when has and readable and canon_ok and t1 and t2 and coalesce(t3, true) and passed and not forced then 0 else 1 end as exit_code, {_REASONS} as reasons,
+case when has and readable and canon_ok then (doc % 4 = 0)::int + (doc % 2 = 0)::int else 0 end as disclosures from f"""
+)
 def verify_exit_codes(spark, sf_dir):
-    docs, r = packages(spark, sf_dir), receipts(spark, sf_dir)
-    own = docs.join(r, "doc_id", "left").select("doc_id", F.col("doc_id").alias("digest"), F.when(F.col("gate").isNotNull(), F.col("doc_id")).alias("result_digest"), F.coalesce("gate", F.lit("failed")).alias("gate"), F.coalesce("forced", F.lit(False)).alias("forced"))
-    return verdicts.verify(own.select("doc_id", "digest"), own.select("result_digest", "gate", "forced").where("result_digest is not null")).select("doc_id", "outcome", "exit_code")
+    verdict = store.verify(_baselines(spark, sf_dir, _found(spark, sf_dir)))
+    return verdict.select(F.col("doc").alias("doc_id"), "outcome", "exit_code", F.size("reasons").alias("reasons"), F.size("disclosures").alias("disclosures"))
+
+
+@query(f"with {_FOUND} select doc as doc_id, case when has and readable and canon_ok then t1 end as t1, case when has and readable and canon_ok then t2 end as t2, case when has and readable and canon_ok then t3 end as t3 from f")
+def t3_baseline(spark, sf_dir):
+    return store.verify(_baselines(spark, sf_dir, _found(spark, sf_dir))).select(F.col("doc").alias("doc_id"), "t1", "t2", "t3")
 
 
 @query(f"with {P} select doc_id, idx, 'sha256:' || sha256(text) as text_hash from p")
@@ -137,9 +173,44 @@ def drift_names(spark, sf_dir):
     return digests.drift(digests.manifest_diff(*_two_manifests(spark, sf_dir)))
 
 
-@query(f"with {_DIFF} select change, count(*) as n from diff group by change")
+@query(
+    f"""with {_DIFF}, d as (select doc, list(part order by part) filter (where change = 'differs') as diverged, list(part order by part) filter (where change = 'added') as added, list(part order by part) filter (where change = 'removed') as removed from diff group by doc),
+k as (select distinct doc from parts where l_returnflag <> 'R')
+select k.doc, case when k.doc % 4 > 0 then len(coalesce(diverged, [])) end as diverged, case when k.doc % 4 > 0 then array_to_string(coalesce(added, []), ',') end as added, case when k.doc % 4 > 0 then len(coalesce(removed, [])) end as removed from k left join d on d.doc = k.doc"""
+)
 def t1_detail(spark, sf_dir):
-    return digests.manifest_diff(*_two_manifests(spark, sf_dir)).groupBy("change").agg(F.count("*").alias("n"))
+    want, got = _two_manifests(spark, sf_dir)
+    recorded = want.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("part", "part_digest"))).alias("result_parts"))
+    found = recorded.withColumn("result_parts", F.when(F.col("doc") % 4 > 0, F.col("result_parts")))
+    none = lambda c, x: F.when(F.col(c).isNotNull(), x)
+    return store.divergence(got, found).select("doc", none("diverged", F.size("diverged").cast("long")).alias("diverged"), F.array_join("added", ",").alias("added"), none("removed", F.size("removed").cast("long")).alias("removed"))
+
+
+@query(f"with {_DIFF} select doc, part from diff where change = 'differs'")
+def diverged_parts(spark, sf_dir):
+    return digests.manifest_diff(*_two_manifests(spark, sf_dir)).where("change = 'differs'").select("doc", "part")
+
+
+@query(f"with {_PARTS}, a as (select doc, case l_returnflag when 'R' then 'docProps/core.xml' when 'A' then 'ppt/printerSettings/' || part else part end as part from parts) select doc, count(*) filter (where part like 'word/%') as included, count(*) as parts from a group by doc")
+def included_parts(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    parts = order_parts(spark, sf_dir).select("doc", F.when(flag == "R", "docProps/core.xml").when(flag == "A", F.concat(F.lit("ppt/printerSettings/"), "part")).otherwise(F.col("part")).alias("part"))
+    return parts.groupBy("doc").agg(F.count_if(~digests.is_excluded("part")).alias("included"), F.count("*").alias("parts"))
+
+
+@query(
+    f"""with {_PARTS}, a as (select doc, part, l_returnflag as f, row_number() over (partition by doc order by part) as n from parts),
+o as (select doc, part, case when f = 'A' then 0 when part = 'word/part0003.xml' then 1 else 2 end as cls, case when f = 'A' then -n end as slide from a)
+select doc, part, cast(row_number() over (partition by doc order by cls, slide nulls last, part) as integer) as place from o"""
+)
+def search_order(spark, sf_dir):
+    # parts of open lines are slides, listed from the last on; one name stands for notes
+    parts = order_parts(spark, sf_dir).withColumn("at", -F.row_number().over(Window.partitionBy("doc").orderBy("part")))
+    slide = F.when(F.col("l_returnflag") == "A", F.col("at"))
+    named = F.when(F.col("part") == "word/part0003.xml", "ppt/notesSlides/notesSlide1.xml").otherwise(F.col("part"))
+    first = digests.search_priority(F.lit("pptx"), named, F.lit(""), slide)
+    order = Window.partitionBy("doc").orderBy(first, slide.asc_nulls_last(), "part")
+    return parts.select("doc", "part", F.row_number().over(order).alias("place"))
 
 
 _NAMES = """names as (select page_id, case page_id % 8 when 0 then 'docProps/core.xml' when 1 then 'docProps/thumbnail.jpeg' when 2 then 'ppt/printerSettings/' || page_id || '.bin'
@@ -167,14 +238,14 @@ def part_filters(spark, sf_dir):
 
 
 @query(
-    f"""with {_NAMES}, r as (select page_id, part, case page_id % 5 when 0 then '../media/a.png' when 1 then '/xl/./b.xml' when 2 then '../../../c.xml' when 3 then 'd\\e' else 'f.xml' end as target from names)
-select page_id, case page_id % 5 when 0 then
+    f"""with {_NAMES}, r as (select page_id, part, regexp_replace(part, '[^/]*$', '') as folder from names)
+select page_id, case page_id % 9 when 0 then
     case when regexp_matches(part, '^[^/]+/[^/]+/[^/]+/') then regexp_extract(part, '^([^/]+/[^/]+)/', 1) || '/media/a.png' when regexp_matches(part, '^[^/]+/[^/]+/') then regexp_extract(part, '^([^/]+)/', 1) || '/media/a.png' else 'media/a.png' end
-  when 1 then 'xl/b.xml' when 2 then case when regexp_matches(part, '^[^/]+/[^/]+/[^/]+/') then 'c.xml' end when 3 then null else regexp_replace(part, '[^/]*$', '') || 'f.xml' end as resolved from r"""
+  when 1 then 'xl/b.xml' when 2 then case when regexp_matches(part, '^[^/]+/[^/]+/[^/]+/') then 'c.xml' end when 6 then 'x.xml' when 8 then folder || 'f.xml' end as resolved from r"""
 )
 def resolve_target(spark, sf_dir):
-    k = F.col("page_id") % 5
-    target = F.when(k == 0, "../media/a.png").when(k == 1, "/xl/./b.xml").when(k == 2, "../../../c.xml").when(k == 3, "d\\e").otherwise("f.xml")
+    targets = ["../media/a.png", "/xl/./b.xml", "../../../c.xml", "d\\e", ".", "..", "/../x.xml", "1:x", "f.xml"]
+    target = F.get(F.array(*map(F.lit, targets)), (F.col("page_id") % len(targets)).cast("int"))
     return _names(spark, sf_dir).select("page_id", X.resolve_target("part", target).alias("resolved"))
 
 
@@ -245,16 +316,27 @@ def locate_kth(spark, sf_dir):
     return search.kth_match(_tion(spark, sf_dir), ["doc_id"], 3).select("doc_id", "para_index", "char_start")
 
 
+@query("select b.item_id, count(*) as docs from benchmark b join documents d on contains(d.text, b.text) where b.text <> '' group by b.item_id")
+def needle_hits(spark, sf_dir):
+    found = search.needles_in(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"))
+    return found.groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("docs"))
+
+
 @query(
-    """with b as (select item_id, regexp_extract(text, '^(\\S+ \\S+ \\S+)', 1) as needle, regexp_extract(text, '^(\\S+) ', 1) as head from benchmark),
-w as (select doc_id, text, unnest(list_distinct(string_split(replace(text, chr(10), ' '), ' '))) as head from documents)
-select b.item_id, count(distinct w.doc_id) as docs from b join w on b.head = w.head and contains(w.text, b.needle) where b.needle <> '' group by b.item_id"""
+    f"""with {P}, a as (select doc_id, idx, case idx % 5 when 0 then 'stale' when 1 then 'resolved' when 2 then case when idx % 4 = 0 then 'resolved' else 'no such id' end when 3 then 'no hash' else 'out of range' end as state from p)
+select doc_id, idx, state, case when state = 'resolved' then idx end as found from a"""
 )
-def needle_hits(spark, sf_dir):
-    # keyed by the needle's first word, so that no document meets every needle
-    b = t(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1).alias("needle"), F.regexp_extract("text", r"^(\S+) ", 1).alias("head")).where("needle <> ''")
-    w = t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "))).alias("head"))
-    return w.join(b, "head").where(F.col("text").contains(F.col("needle"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+def stale_address(spark, sf_dir):
+    # ids are given to every fourth paragraph; addresses are by a wrong hash, hash, id, bare index and a place that is not there
+    p = paragraphs(spark, sf_dir).withColumnRenamed("doc_id", "doc").withColumn("part", F.lit("p")).withColumn("text_hash", X.digest_of("text"))
+    named = p.withColumn("para_id", F.when(F.col("idx") % 4 == 0, F.col("idx").cast("string")))
+    k = F.col("idx") % 5
+    asked = p.select(
+        "doc", "part", F.col("idx").alias("at"), F.when(k == 2, F.col("idx").cast("string")).alias("para_id"), F.when(k == 4, F.lit(1 << 30)).when(k != 2, F.col("idx")).alias("para_index"),
+        F.when(k == 0, "sha256:0").when(k.isin(1, 4), F.col("text_hash")).alias("para_hash"),
+    )
+    found = search.at_address(asked, named.select("doc", "part", "idx", "para_id", "text_hash"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("at").alias("idx"), "state", F.col("idx").alias("found"))
 
 
 @query(
@@ -262,9 +344,11 @@ def needle_hits(spark, sf_dir):
 select doc_id, idx, case when given = h then 'resolved' else 'stale' end as state from a"""
 )
 def resolve_address(spark, sf_dir):
-    p = paragraphs(spark, sf_dir)
-    asked = p.select("doc_id", "idx", F.when(F.col("idx") % 3 == 0, X.digest_of(F.concat("text", F.lit("?")))).otherwise(X.digest_of("text")).alias("given"))
-    return p.join(asked, ["doc_id", "idx"]).select("doc_id", "idx", F.when(F.col("given") == X.digest_of("text"), "resolved").otherwise("stale").alias("state"))
+    p = paragraphs(spark, sf_dir).withColumnRenamed("doc_id", "doc").withColumn("part", F.lit("p")).withColumn("para_id", F.lit(None).cast("string")).withColumn("text_hash", X.digest_of("text"))
+    given = F.when(F.col("idx") % 3 == 0, X.digest_of(F.concat("text", F.lit("?")))).otherwise(F.col("text_hash"))
+    asked = p.select("doc", "part", "para_id", F.col("idx").alias("para_index"), given.alias("para_hash"))
+    found = search.at_address(asked, p.select("doc", "part", "idx", "para_id", "text_hash"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("para_index").alias("idx"), "state")
 
 
 @query(
@@ -328,6 +412,22 @@ def seq_contiguity(spark, sf_dir):
     return chain.contiguity(ops, "conv_id", "seq")
 
 
+@query(f"with recursive {_TURNS} select conv_id, min(case when conv_id % 3 = 0 then seq end) as break_seq from s group by conv_id")
+def genesis_rule(spark, sf_dir):
+    # sealed behind a genesis; every third log is checked against another one
+    own = F.sha2(F.col("conv_id").cast("string"), 256)
+    sealed = chain.seal(_turns(spark, sf_dir).withColumn("genesis", own), "conv_id", "genesis")
+    given = F.when(F.col("conv_id") % 3 == 0, "other").otherwise(F.sha2(F.col("conv_id").cast("string"), 256))
+    return chain.first_break(sealed, "conv_id", given)
+
+
+@query("select event_id, event_id % 4 = 0 or user_id % 3 = 0 or event_id % 5 > 3 as named from events")
+def target_nonempty(spark, sf_dir):
+    e = F.col("event_id")
+    target = F.struct(F.when(e % 4 == 0, "part").alias("part"), F.when(F.col("user_id") % 3 == 0, e).alias("para_index"), F.when(e % 5 > 3, "ref").alias("ref"))
+    return t(spark, sf_dir, "events").select("event_id", F.exists(F.array(*(target[c].cast("string") for c in ("part", "para_index", "ref"))), lambda x: x.isNotNull()).alias("named"))
+
+
 @query("select event_id, event_type in ('click', 'view', 'purchase') as known, json_extract_string(props, '$.k') is not null as has_target from events")
 def op_union_guard(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.col("event_type").isin("click", "view", "purchase").alias("known"), F.get_json_object("props", "$.k").isNotNull().alias("has_target"))
@@ -363,15 +463,20 @@ def lineage(spark, sf_dir):
 
 
 @query(
-    """with s as (select doc_id, case doc_id % 4 when 0 then 'sha256-' || sha256(text) || '.json' when 1 then 'notes.json' when 2 then 'sha256-' || sha256(text || '.') || '.json' else 'sha256-' || sha256(text) || '.json' end as name,
-  sha256(text) as recorded, doc_id % 4 < 3 as readable from documents)
-select doc_id, case when not regexp_full_match(name, 'sha256-[0-9a-f]{64}\\.json') then 'bad name' when not readable then 'unreadable' when name <> 'sha256-' || recorded || '.json' then 'mislabelled' end as reason from s"""
+    """with s as (select doc_id, case doc_id % 4 when 0 then 'sha256-' || sha256(text || doc_id) || '.json' when 1 then 'notes.json' when 2 then 'sha256-' || sha256(text || doc_id || '.') || '.json' else 'sha256-' || sha256(text || doc_id) || '.json' end as name,
+  sha256(text || doc_id) as recorded, doc_id % 4 < 3 as readable from documents)
+select doc_id, case when not regexp_full_match(name, 'sha256-[0-9a-f]{64}\\.json') then 'name' when not readable then 'unreadable' when name <> 'sha256-' || recorded || '.json' then 'digest' end as reason from s"""
 )
 def store_scan(spark, sf_dir):
-    k, h = F.col("doc_id") % 4, F.sha2("text", 256)
-    file = lambda x: F.concat(F.lit("sha256-"), x, F.lit(".json"))
-    s = t(spark, sf_dir, "documents").select("doc_id", F.when(k == 1, "notes.json").when(k == 2, file(F.sha2(F.concat("text", F.lit(".")), 256))).otherwise(file(h)).alias("name"), h.alias("recorded"), (k < 3).alias("readable"))
-    return s.select("doc_id", F.when(~F.col("name").rlike(r"^sha256-[0-9a-f]{64}\.json\z"), "bad name").when(~F.col("readable"), "unreadable").when(F.col("name") != file(F.col("recorded")), "mislabelled").alias("reason"))
+    k, h = F.col("doc_id") % 4, X.digest_of(F.concat("text", "doc_id"))
+    name = F.when(k == 1, "notes.json").when(k == 2, store.name_of_digest(X.digest_of(F.concat("text", "doc_id", F.lit("."))))).otherwise(store.name_of_digest(h))
+    digest = '{"digest":"%s","canon":"canon"}'
+    receipt = F.format_string('{"schema":"receipt/1","document":{"name":"d","kind":"docx"},"baseline":%s,"operations":[],"result":%s,"attestation":{"tool":"t","created":"c","gate":"passed"},"signature":null}' % (digest, digest), h, h)
+    files = t(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.when(k < 3, receipt).otherwise("{").alias("value"))
+    scanned = store.scan(files.select("name", "value").dropDuplicates(["name"]))
+    skipped = F.col("skipped")
+    reason = F.when(skipped == "no receipt's name", "name").when(skipped.startswith("unreadable"), "unreadable").when(skipped.isNotNull(), "digest")
+    return files.select("doc_id", "name").join(scanned.select("name", reason.alias("reason")), "name").select("doc_id", "reason")
 
 
 @query("select source, count(*) as receipts, count(*) filter (where quality = 1) as passed, count(*) filter (where toxic = 1) as forced, min(doc_id) as first_doc from labels join documents using (doc_id) group by source")
@@ -380,9 +485,10 @@ def receipt_catalog(spark, sf_dir):
     return j.groupBy("source").agg(F.count("*").alias("receipts"), F.count_if(F.col("gate") == "passed").alias("passed"), F.count_if("forced").alias("forced"), F.min("doc_id").alias("first_doc"))
 
 
-@query("select c.c_custkey from customer c where c.c_custkey not in (select o_custkey from orders)")
+@query("select sha256(text) as digest, min(doc_id) % 4 > 0 and not bool_or(doc_id % 4 = 0) as published from documents group by 1")
 def absent_publish(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey").join(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    d = t(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
+    return store.publish_new(d.select("digest"), d.where("doc_id % 4 = 0"), "digest").select("digest", "published")
 
 
 @query("with l as (select o_orderkey, o_custkey from orders), parts as (select c_custkey from customer where c_custkey % 9 > 0) select o_orderkey, o_custkey from l where o_custkey not in (select c_custkey from parts)")
@@ -391,6 +497,57 @@ def dangling_rels(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(parts, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
+@query(
+    """select o_orderkey, case when c_custkey % 9 > 0 then c_custkey else n_nationkey end as owner, case when c_custkey % 9 > 0 then 'direct' when n_nationkey is not null then 'one hop' end as via
+from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey and n_nationkey % 2 = 0"""
+)
+def rel_lookup(spark, sf_dir):
+    # an order's owner: its customer if that is listed, else by one hop the customer's nation
+    c, n = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), t(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey")
+    j = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    listed = F.col("c_custkey") % 9 > 0
+    return j.select("o_orderkey", F.when(listed, F.col("c_custkey")).otherwise(F.col("n_nationkey")).alias("owner"), F.when(listed, "direct").when(F.col("n_nationkey").isNotNull(), "one hop").alias("via"))
+
+
+@query(
+    """with s as (select o_custkey, o_orderkey % 100 as "start", o_orderkey % 100 + 20 + o_orderkey % 50 as "end", o_orderkey from orders),
+i as (select o_custkey, o_orderkey, o_orderkey % 97 as "start", o_orderkey % 97 + 1 as "end" from orders),
+r as (select i.o_custkey, i.o_orderkey, s."start" as outer_start, s."end" as outer_end, row_number() over (partition by i.o_orderkey order by s."start" desc, s."end") as k from i join s on s.o_custkey = i.o_custkey and s."start" <= i."start" and i."end" <= s."end")
+select i.o_orderkey, outer_start, outer_end from i left join r on r.o_orderkey = i.o_orderkey and k = 1"""
+)
+def innermost_tag(spark, sf_dir):
+    o, k = t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    outer = o.select("o_custkey", (k % 100).alias("start"), (k % 100 + 20 + k % 50).alias("end"))
+    inner = o.select("o_custkey", "o_orderkey", (k % 97).alias("start"), (k % 97 + 1).alias("end"))
+    return search.innermost(inner, outer, ["o_custkey"]).select("o_orderkey", "outer_start", "outer_end")
+
+
+@query(f"with {_PARTS} select doc, string_agg(case when l_returnflag <> 'A' or doc % 3 = 0 then data else '' end, '' order by part) as text from parts group by doc")
+def reject_session_edits(spark, sf_dir):
+    segments = order_parts(spark, sf_dir)
+    revision = F.when(F.col("l_returnflag") == "A", "ins").when(F.col("l_returnflag") == "R", "del")
+    return verdicts.rejected_texts(segments, ["doc"], "part", "data", revision, F.col("doc") % 3 > 0)
+
+
+@query(f"with {_PARTS}, w as (select doc, sha256(string_agg(part || data, '' order by part)) as a, sha256(string_agg(part || case when part like '%0002.xml' and doc % 4 = 0 then data || '!' else data end, '' order by part)) as b from parts group by doc) select doc, a = b as accountability from w")
+def accountability(spark, sf_dir):
+    # the replay's package against the result, in which every fourth has a change that nothing records
+    parts = order_parts(spark, sf_dir)
+    changed = parts.withColumn("data", F.when(F.col("part").endswith("0002.xml") & (F.col("doc") % 4 == 0), F.concat("data", F.lit("!"))).otherwise(F.col("data")))
+    of = lambda p, name: digests.package_digests(digests.part_digests(p)).select("doc", F.col("digest").alias(name))
+    return of(parts, "a").join(of(changed, "b"), "doc").select("doc", (F.col("a") == F.col("b")).alias("accountability"))
+
+
+@query(f"with {P}, d as (select doc_id, bool_or(doc_id % 3 = 0 and idx = 1) as hurt, bool_or(doc_id % 5 = 0) as direct from p group by doc_id) select doc_id, case when not direct then not hurt end as visibility from d")
+def visibility(spark, sf_dir):
+    # what stays when tracked changes are rejected against what direct ones alone give; null without tracked changes
+    p = paragraphs(spark, sf_dir).withColumnRenamed("doc_id", "doc")
+    rejected = p.withColumn("text", F.when((F.col("doc") % 3 == 0) & (F.col("idx") == 1), F.concat("text", F.lit("~"))).otherwise(F.col("text")))
+    lost = verdicts.model_diff(p, rejected).select("doc", F.lit(True).alias("lost"))
+    docs = p.select("doc").distinct().join(lost, "doc", "left")
+    return docs.select(F.col("doc").alias("doc_id"), F.when(F.col("doc") % 5 > 0, F.col("lost").isNull()).alias("visibility"))
+
+
 @query("select n_nationkey, n_name, r_name, cast(row_number() over (partition by r_name order by n_nationkey) - 1 as integer) as idx from nation left join region on n_regionkey = r_regionkey")
 def ordered_children(spark, sf_dir):
     n, r = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
@@ -456,10 +613,17 @@ def unaddressable_direct_ops(spark, sf_dir):
     return verdicts.unaddressable(_ops(spark, sf_dir), "user_id")
 
 
-@query("select user_id, count(*) as n, count(*) filter (where event_id % 4 > 0) as direct, count(*) filter (where event_id % 4 > 0 and event_id % 3 = 2) as owed from events group by user_id")
+@query(
+    """select user_id, count(*) as n, count(*) filter (where event_id % 4 > 0) as direct, count(*) filter (where event_id % 4 > 0 and event_id % 6 < 3) as owed,
+count(*) filter (where event_id % 4 > 0 and event_id % 6 < 3 and event_id % 7 > 0) as silent from events group by user_id"""
+)
 def owed_disclosures(spark, sf_dir):
-    o = _ops(spark, sf_dir)
-    return o.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("mode") == "direct").alias("direct"), F.count_if((F.col("mode") == "direct") & (F.col("op") == "text_edit")).alias("owed"))
+    e = F.col("event_id")
+    part = F.get(F.array(*map(F.lit, ("word/document.xml", "word/header2.xml", "ppt/slides/slide7.xml", "word/styles.xml", "xl/workbook.xml", "ppt/presentation.xml"))), (e % 6).cast("int"))
+    note = F.when(e % 7 == 0, verdicts.DISCLOSURE)
+    ops = t(spark, sf_dir, "events").select("user_id", F.when(e % 4 == 0, "tracked").otherwise("direct").alias("mode"), part.alias("part"), note.alias("note"), e.alias("n"))
+    counted = ops.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("mode") == "direct").alias("direct"), F.count_if(verdicts.owes_disclosure("mode", "part")).alias("owed"))
+    return counted.join(verdicts.silent_operations(ops, "user_id").select("user_id", F.size("silent").cast("long").alias("silent")), "user_id")
 
 
 @query(
@@ -470,7 +634,7 @@ select doc_id, ok, case when ok then 'passed' else 'failed' end as gate, not ok
 def gate_attestation(spark, sf_dir):
     g = t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("acc"), F.when(F.col("doc_id") % 3 > 0, F.col("toxic") == 0).alias("vis"), F.when(F.col("doc_id") % 2 > 0, F.col("doc_id") % 5 > 0).alias("str"))
     ok = g.withColumn("ok", verdicts.gate_ok("acc", "vis", "str"))
-    return ok.select("doc_id", "ok", verdicts.attestation("ok", F.col("doc_id") % 4 == 0, (F.col("doc_id") % 6 == 0).cast("int"), F.lit(0)).alias("a")).select("doc_id", "ok", "a.*")
+    return ok.select("doc_id", "ok", verdicts.attestation("ok", F.col("doc_id") % 4 == 0, F.when(F.col("doc_id") % 6 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("a")).select("doc_id", "ok", "a.*")
 
 
 @query("select l_orderkey, l_linenumber, count(*) as n from lineitem where l_returnflag in ('A', 'R') group by all having count(*) > 1")
@@ -480,15 +644,15 @@ def duplicate_ids(spark, sf_dir):
 
 @query(
     """with s as (select user_id, max(ts) as last, count(*) as ops, min(event_id) as e from events group by user_id),
-c as (select user_id, e % 17 = 0 as link, e % 13 > 0 as is_session, case e % 5 when 0 then 'absent' when 1 then 'unreadable' else 'ok' end as meta, (e % 9) * 1000 as age, e % 4 = 0 as held, last <= timestamp '2024-01-30 00:00:00' as expired, case when e % 6 = 0 then null when e % 6 = 1 then 0 else ops end as journal from s)
-select user_id, case when link then 'kept: a link' when not is_session then 'kept: no session' when meta = 'unreadable' then 'kept: unreadable' when meta = 'absent' then case when held or age < 3600 then 'kept: young or held' else 'removed' end
+c as (select user_id, e % 17 = 0 as link, e % 13 > 0 as is_session, case e % 5 when 0 then 'absent' when 1 then 'unreadable' else 'ok' end as meta, (e % 9) * 20000 as age, e % 4 = 0 as held, last <= timestamp '2024-01-30 00:00:00' as expired, case when e % 6 = 0 then null when e % 6 = 1 then 0 else ops end as journal from s)
+select user_id, case when link then 'kept: a link' when not is_session then 'kept: no session' when meta = 'unreadable' then 'kept: unreadable' when meta = 'absent' then case when held or age < 86400 then 'kept: young or held' else 'removed' end
   when not expired then 'kept: live' when held then 'kept: held' when journal is null or journal > 0 then 'kept: unsealed operations' else 'removed' end as class from c"""
 )
 def sweep_classes(spark, sf_dir):
     s = t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.count("*").alias("ops"), F.min("event_id").alias("e"))
     e = F.col("e")
     expired = F.col("last") <= F.to_timestamp(F.lit("2024-01-30 00:00:00"))
-    return s.select("user_id", verdicts.sweep_class(e % 17 == 0, e % 13 > 0, F.when(e % 5 == 0, "absent").when(e % 5 == 1, "unreadable").otherwise("ok"), e % 9 * 1000, e % 4 == 0, expired, F.when(e % 6 == 0, None).when(e % 6 == 1, 0).otherwise(F.col("ops"))).alias("class"))
+    return s.select("user_id", verdicts.sweep_class(e % 17 == 0, e % 13 > 0, F.when(e % 5 == 0, "absent").when(e % 5 == 1, "unreadable").otherwise("ok"), e % 9 * 20000, e % 4 == 0, expired, F.when(e % 6 == 0, None).when(e % 6 == 1, 0).otherwise(F.col("ops"))).alias("class"))
 
 
 @query(
@@ -515,7 +679,7 @@ def id_allocation(spark, sf_dir):
 @query(
     """with n as (select p_partkey, case p_partkey % 7 when 0 then p_name || '.docx' when 1 then '../' || p_name || '.docx' when 2 then '.hidden.pptx' when 3 then p_name when 4 then ' ' || p_name || '.xlsx' when 5 then repeat('x', 300) || '.docx' else chr(7) || '.docx' end as name from part)
 select p_partkey, case when length(name) > 255 then 'too long' when regexp_matches(name, '[\\x00-\\x1f\\x7f]') then 'control character' when regexp_matches(name, '[/\\\\]|^[A-Za-z]:') then 'a path'
-  when regexp_matches(name, '^[.~]') or trim(name) <> name then 'leading or trailing mark' when not regexp_matches(lower(name), '\\.(docx|docm|pptx|pptm|xlsx|xlsm)$') then 'unsupported container' end as reason from n"""
+  when regexp_matches(name, '^[.~]') or trim(name) <> name then 'leading or trailing mark' when not regexp_matches(lower(name), '\\.(docx|dotx|pptx|potx|xlsx|xlsm)$') then 'unsupported container' end as reason from n"""
 )
 def guard_reasons(spark, sf_dir):
     k = F.col("p_partkey") % 7
@@ -528,7 +692,7 @@ def guard_reasons(spark, sf_dir):
 @query("select user_id, max(ts) as last, max(ts) + interval 1 hour as expires, max(ts) + interval 1 hour <= timestamp '2024-01-30 12:00:00' as expired from events group by user_id".replace("max(ts) as last, ", "").replace("max(ts) + interval 1 hour as expires, ", ""))
 def expired_sessions(spark, sf_dir):
     s = t(spark, sf_dir, "events").groupBy("user_id").agg((F.max("ts") + F.expr("interval 1 hour")).alias("expires"))
-    return s.select("user_id", (F.col("expires") <= F.to_timestamp(F.lit("2024-01-30 12:00:00"))).alias("expired"))
+    return s.select("user_id", sessions.is_expired(sessions.utc_text("expires"), F.to_timestamp(F.lit("2024-01-30 12:00:00"))).alias("expired"))
 
 
 @query("select page_id, regexp_matches(html, '(?i)<!DOCTYPE') as refused from pages")
@@ -568,6 +732,7 @@ def normalize_declaration(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", canonical_declaration(F.concat(d, F.lit("<d>"), "text", F.lit("</d>")), "canon").alias("normalized"))
 
 
-@query(f"with {P} select doc_id, cast(coalesce(max(try_cast(regexp_extract(text, '([0-9]{{1,6}})', 1) as integer)), 0) as integer) as max_id from p group by doc_id")
+@query(f"with {P} select doc_id, cast(coalesce(max(list_max(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: try_cast(x as integer)))), 0) as integer) as max_id from p group by doc_id")
 def max_id(spark, sf_dir):
-    return paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.coalesce(F.max(X.as_int(F.regexp_extract("text", "([0-9]{1,6})", 1))), F.lit(0)).alias("max_id"))
+    numbers = F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), 0), X.as_int)
+    return paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.coalesce(F.max(F.array_max(numbers)), F.lit(0)).alias("max_id"))
