@@ -520,3 +520,68 @@ def test_pipeline(spark, tmp_path):
     good = {i for i, _, q, x in rows if q and not x}
     assert len(ids & good) > 0.97 * len(good) and len(ids - good) < 5 and 900 not in ids
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+def kept_by_hand(rows):
+    """Rows (id, text) of which one stays for each class of near copies: that of its least id, nulls last, then the first."""
+    sets, root = [near_dedup.shingles(t or "") for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if near_dedup.similarity(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    out = []
+    for r in set(root):
+        own = [k for k in range(len(rows)) if root[k] == r]
+        out.append(min(own, key=lambda k: (rows[k][0] is None, rows[k][0] or 0)))
+    return [rows[k] for k in out]
+
+
+def cleaned_by_hand(rows):
+    seen = Counter()
+    for _, t in rows:
+        w = (t or "").encode().split()
+        seen.update(tuple(w[k : k + 35]) for k in range(len(w) - 34))
+    out = []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = {k + j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        out.append((i, b" ".join(x for k, x in enumerate(w) if k not in gone).decode() if gone else t))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    train = labelled(rnd, 120)
+    a, b, c, passage = (prose(rnd, n) for n in (90, 80, 100, 70))
+    near = c.split()
+    near[50] = "other"
+    rows = [(i, t) for i, t, _, _ in train] + [(1001, a), (1005, a), (1005, b), (1030, c), (1030, c), (1031, " ".join(near)), (None, prose(rnd, 60)), (None, a), (1040, None), (1041, ""), (1042, " \n "), (1043, "Ä ß " + prose(rnd, 3000))]
+    rows += [(1050, f"{passage} {prose(rnd, 50)}"), (1051, f"{prose(rnd, 50)}\n{passage}"), (1052, "you idiot zorgish " + prose(rnd, 30)), (1053, "<|endoftext|> " + prose(rnd, 20))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rid string, piece string"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", "clash") for i, t in rows], schema).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, x) for i, _, q, x in train], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    good, toxic = quality.train(docs, labels), toxicity.train(docs, labels)
+    left = [r for r, s in zip(left, good.scores([t or "" for _, t in left]), strict=True) if s >= quality.THRESHOLD]
+    left = [r for r, s in zip(left, toxic.scores([t or "" for _, t in left]), strict=True) if s < toxicity.THRESHOLD]
+    left = cleaned_by_hand(kept_by_hand(left))
+    assert {b, c} <= {t for _, t in left} and (1001, a) in left and len([i for i, _ in left if i == 1005]) == 1
+    want = Counter()
+    for i, t in left:
+        ids = [*by_library("byte_bpe_50k.json", t or ""), 2]
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        want.update((i, piece, x, y - x, zlib.crc32(np.array(ids[x:y], "<u4").tobytes())) for piece, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
