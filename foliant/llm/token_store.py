@@ -6,6 +6,7 @@ File format, all Parquet in one folder of the shared store:
     across packs: ``doc_id, rid, pack, seq, n_tokens, local_start, addrs`` (the
     recipe: 16-byte BLAKE2b addresses of its chunks), ``lens`` (ids per chunk),
     ``held`` (positions of the chunks whose ids are stored in this row),
+    ``shared`` (those of them that other rows name too),
     ``data`` (those ids, little-endian, ``width`` bytes each), ``root`` (Merkle
     root of the recipe).
 ``manifest/``  a row for each node of the Merkle tree above the documents: blocks
@@ -49,11 +50,11 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1024
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the content-defined chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Places where a rolling hash of the 16 ids before them says that a chunk may end.
+
+    For streams in a row: the first 16 ids of each see ids of the one before, but no chunk ends there.
+    """
     with np.errstate(over="ignore"):
         value = (ids.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
         value ^= value >> np.uint64(29)
@@ -62,17 +63,23 @@ def cuts(ids: np.ndarray) -> list[int]:
             rolled = value.copy()
             rolled[step:] += value[:-step] * factor
             value, factor = rolled, factor * factor
-    ends, last = [], 0
-    for at in (np.flatnonzero((value >> np.uint64(48)) & MASK == 0) + 1).tolist():
-        while at - last > MOST:
-            last += MOST
-            ends.append(last)
-        if at - last >= LEAST and at < n:
+    return np.flatnonzero((value >> np.uint64(48)) & MASK == 0) + 1
+
+
+def chunk_ends(points: list[int], first: int, last: int) -> list[int]:
+    """Ends of the content-defined chunks of one stream, counted from its ``first`` id; points: those within it."""
+    ends, at, n = [], 0, last - first
+    for point in points:
+        point -= first
+        while point - at > MOST:
+            at += MOST
             ends.append(at)
-            last = at
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
+        if point - at >= LEAST and point < n:
+            ends.append(point)
+            at = point
+    while n - at > MOST:
+        at += MOST
+        ends.append(at)
     return [*ends, n]
 
 
@@ -129,8 +136,8 @@ class Layout:
 
 
 _STAGED = "doc_id long, rid long, n_tokens long, addrs binary, lens binary, data binary"
-_PACKED = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, held array<int>, data binary, root binary"
-_READ = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, crcs array<long>, root binary"
+_PACKED = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, held array<int>, shared array<int>, data binary, root binary"
+_READ = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, shared array<int>, crcs array<long>, root binary"
 
 
 def _types(ddl: str) -> pa.Schema:
@@ -147,8 +154,11 @@ def _encode(layout: Layout):
             bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
             raw = memoryview(ids.astype(layout.dtype).tobytes())
             addrs, lens, data = [], [], []
-            for a, b in pairwise(bounds.tolist()):
-                stops = cuts(ids[a:b])
+            points = cut_points(ids)
+            within = np.searchsorted(points, bounds).tolist()
+            points = points.tolist()
+            for (a, b), (p, q) in zip(pairwise(bounds.tolist()), pairwise(within), strict=True):
+                stops = chunk_ends(points[p:q], a, b)
                 own, starts = raw[width * a : width * b], [0, *stops[:-1]]
                 addrs.append(b"".join([address(own[width * x : width * y]) for x, y in zip(starts, stops, strict=True)]))
                 lens.append(array("H", map(sub, stops, starts)).tobytes())
@@ -168,13 +178,13 @@ def _pack(layout: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, pack, seq, start, width = _types(_PACKED), TaskContext.get().partitionId(), 0, 0, layout.width
-        elsewhere, owner = (), None
+        elsewhere, named, owner = (), (), None
         forget()
         for batch in batches:
-            place, seqs, starts, held, kept, roots = [], [], [], [], [], []
-            for k, (rid, n_tokens, addrs, lens, data, other) in enumerate(_columns(batch, "rid", "n_tokens", "addrs", "lens", "data", "elsewhere")):
+            place, seqs, starts, held, shared, kept, roots = [], [], [], [], [], [], []
+            for k, (rid, n_tokens, addrs, lens, data, other, common) in enumerate(_columns(batch, "rid", "n_tokens", "addrs", "lens", "data", "elsewhere", "shared")):
                 if addrs is None:
-                    elsewhere, owner = other, rid
+                    elsewhere, named, owner = other, common, rid
                     continue
                 sizes, chunks = array("H", lens), split_addresses(addrs)
                 own = list(range(len(chunks)))
@@ -189,12 +199,15 @@ def _pack(layout: Layout):
                 place.append(k)
                 seqs.append(seq)
                 starts.append(start)
+                # a chunk that stands in this document again is named by it
+                again = set(own) if len(set(chunks)) < len(chunks) else ()
+                shared.append(sorted({*again, *(set(own).intersection(named) if owner == rid else ())}))
                 held.append(own)
                 kept.append(data)
                 roots.append(merkle(chunks))
                 seq, start = seq + 1, start + n_tokens
             rows = batch.take(pa.array(place, pa.int64()))
-            made = {"pack": [pack] * len(place), "seq": seqs, "local_start": starts, "held": held, "data": kept, "root": roots}
+            made = {"pack": [pack] * len(place), "seq": seqs, "local_start": starts, "held": held, "shared": shared, "data": kept, "root": roots}
             yield pa.record_batch([pa.array(made[f.name], f.type) if f.name in made else rows.column(f.name) for f in schema], schema=schema)
 
     return run
@@ -232,6 +245,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, lens, rest in _columns(batch, "crcs", "lens", "rest"):
             for x in rest or ():
                 own[x["pos"]] = x["crc"]
+            if None in own:
+                raise ValueError("a recipe names a chunk that no row shares")
             crcs.append(crc32_joined([(c, 4 * n) for c, n in zip(own, array("H", lens), strict=True)]))
         yield pa.record_batch([*(batch.column(k) for k in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64()), batch.column("n_chunks"), batch.column("n_elsewhere")], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "n_elsewhere"])
 
@@ -250,8 +265,11 @@ def write_store(docs: DataFrame, layout: Layout, path: str | None = None, id_col
     refs = streams.select("doc_id", "rid", F.posexplode(_recipe()).alias("pos", "addr"))
     owners = refs.groupBy("addr").agg(F.min("rid").alias("owner"), F.max("rid").alias("last"), F.count("*").alias("n")).where("owner <> last")
     owners = staged(owners.drop("last"), "owners")
-    others = join_counted(refs, owners, ["addr"]).where("rid <> owner").groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("elsewhere"))  # at most the chunks of one document
-    rows = streams.withColumn("elsewhere", F.lit(None).cast("array<int>")).unionByName(others, allowMissingColumns=True)
+    known = join_counted(refs, owners, ["addr"])
+    places = lambda condition: F.collect_list(F.when(F.expr(condition), F.col("pos")))  # noqa: E731  (at most the chunks of one document)
+    others = known.groupBy("doc_id", "rid").agg(places("rid <> owner").alias("elsewhere"), places("rid = owner").alias("shared"))
+    none = F.lit(None).cast("array<int>")
+    rows = streams.withColumn("elsewhere", none).withColumn("shared", none).unionByName(others, allowMissingColumns=True)
     packs = (
         rows.repartitionByRange(parallelism(spark), "doc_id", "rid")
         .sortWithinPartitions("doc_id", "rid", F.col("addrs").isNotNull())
@@ -303,9 +321,11 @@ def read_store(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     broken = _breaks(spark, path, read).select("level", "pack", "block").take(3)
     if broken:
         raise ValueError(f"the packs do not match the manifest: {[tuple(r) for r in broken]}")
-    chunks = read.select("rid", F.posexplode(F.arrays_zip(_recipe().alias("addrs"), "crcs")).alias("pos", "x")).select("rid", "pos", "x.addrs", "x.crcs")
-    known = chunks.where("crcs is not null").select("addrs", F.col("crcs").alias("crc"))
-    rest = chunks.where("crcs is null").join(known, "addrs").groupBy("rid").agg(F.collect_list(F.struct("pos", "crc")).alias("rest"))
+    addr = F.substring(F.col("addrs"), F.col("pos") * 16 + 1, F.lit(16))
+    known = read.select("addrs", "crcs", F.explode("shared").alias("pos")).select(addr.alias("addr"), F.get("crcs", "pos").alias("crc"))
+    missing = F.filter(F.transform("crcs", lambda c, k: F.when(c.isNull(), k)), lambda k: k.isNotNull())
+    named = read.select("rid", "addrs", F.explode(missing).alias("pos")).select("rid", "pos", addr.alias("addr"))
+    rest = named.join(known, "addr").groupBy("rid").agg(F.collect_list(F.struct("pos", "crc")).alias("rest"))
     before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
     # one row a pack: as many as the writing job had tasks
     offsets = read.groupBy("pack").agg(F.sum("n_tokens").alias("n")).select("pack", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -294,6 +294,24 @@ def test_added_tokens_are_encoded_as_the_library_does(name, keeps_space):
     assert [encoder.encode(t) for t in parts] == want
 
 
+def test_chunks_are_cut_by_content():
+    rnd = np.random.default_rng(4)
+    a, b = rnd.integers(0, 49000, 9000).astype("<u4"), rnd.integers(0, 49000, 500).astype("<u4")
+
+    def ends(parts):
+        ids, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        points = token_store.cut_points(ids)
+        return [token_store.chunk_ends(points[(points >= x) & (points < y)].tolist(), int(x), int(y)) for x, y in zip(bounds, bounds[1:], strict=False)]
+
+    alone = ends([a])[0]
+    assert ends([b, a, b[:1]])[1] == alone and alone[-1] == 9000  # whatever stands before it
+    sizes = np.diff([0, *alone])
+    assert sizes.max() <= token_store.MOST and (sizes[:-1] >= token_store.LEAST).all()
+    moved = ends([np.concatenate([b[:100], a])])[0]
+    assert len({x - 100 for x in moved} & set(alone)) > 0.8 * len(alone)  # an insertion moves few cuts
+    assert ends([b[:0], b[:1]]) == [[0], [1]]
+
+
 def test_crc_of_parts():
     data = random.Random(0).randbytes(5000)
     assert token_store.crc32_joined([(zlib.crc32(data[a:b]), b - a) for a, b in ((0, 0), (0, 17), (17, 4000), (4000, 5000))]) == zlib.crc32(data)
