@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import id_and_text, staged
-from foliant.llm.tokens import encoder
+from foliant.llm.tokens import encoder, gathered
 
 GROUPS, SMALL_SHARE = 1024, 16
 Run = tuple[int, tuple[int, ...]]  # so many sequences that hold these lengths
@@ -187,7 +187,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 def _cut(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(vocabulary, True).encode_batch, TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in gathered(batches):
             rows = []
             ids, ends = encode(batch.column("text").to_pylist())
             raw = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())

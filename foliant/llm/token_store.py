@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import id_and_text, join_counted, new_path, parallelism, staged
-from foliant.llm.tokens import encoder, forget
+from foliant.llm.tokens import encoder, forget, gathered
 
 #: Chunks of 64 to 1024 ids, 256 or so on average.
 LEAST, MASK, MOST = 64, np.uint64(0xFF), 1024
@@ -148,7 +148,7 @@ def _types(ddl: str) -> pa.Schema:
 def _encode(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, schema, width = encoder(layout.vocabulary, layout.keeps_space).encode_batch, _types(_STAGED), layout.width
-        for batch in batches:
+        for batch in gathered(batches):
             ids, ends = encode(batch.column("text").to_pylist())
             ids = np.insert(ids, ends, layout.end_id).astype("<u4")
             bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])

@@ -13,6 +13,7 @@ import gc
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import cache
 from itertools import repeat
 
@@ -41,7 +42,7 @@ def _strings(column: pa.Array) -> list[str]:
 
 
 #: Characters that are cut into units at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 4 << 20
 
 
 class IdLists:
@@ -195,7 +196,7 @@ class UnitEncoder:
         return found
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A million characters at a time (one text at least), which bounds what is held besides the ids."""
+        """A few million characters at a time (one text at least), which bounds what is held besides the ids."""
         parts, held = [[]], 0
         for text in texts:
             if held and held + len(text) > AT_ONCE:
@@ -243,6 +244,19 @@ class UnitEncoder:
         return self.encode_all([text])[0]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts have about ``most`` bytes: units that repeat are looked up once."""
+    own, held = [], 0
+    for batch in batches:
+        own.append(batch)
+        held += batch.column(column).nbytes
+        if held >= most:
+            yield pa.concat_batches(own)
+            own, held = [], 0
+    if own:
+        yield pa.concat_batches(own)
+
+
 @cache
 def encoder(path: str, keeps_space: bool) -> UnitEncoder:
     """One per worker process, kept over its tasks."""
