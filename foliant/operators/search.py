@@ -134,9 +134,10 @@ def needles_in(documents: DataFrame, needles: DataFrame, doc_col: str = "doc_id"
     own = needles.select(F.col(item_col).alias("item"), F.col(needle_col).alias("needle")).where("needle <> ''").withColumn("w", words(F.col("needle")))
     keyed = own.where(F.size("w") >= KEYED_WORDS).withColumn("key", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))))
     docs = documents.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-    w = words(F.col("text"))
-    triples = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
-    met = docs.select("doc", F.explode(F.array_distinct(triples)).alias("key")).join(keyed.select("item", "key"), "key").select("item", "doc")
+    # the explode keeps the words from being cut anew for each of them
+    cut = docs.select("doc", F.explode(F.array(words(F.col("text")))).alias("w"))
+    triples = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get("w", i + 1), F.get("w", i + 2)))
+    met = cut.select("doc", F.explode(F.array_distinct(triples)).alias("key")).join(keyed.select("item", "key"), "key").select("item", "doc")
     found = met.join(docs, "doc").join(keyed.select("item", "needle"), "item").where(F.contains("text", F.col("needle"))).select("item", "doc")
     short = own.where(F.size("w") < KEYED_WORDS).select("item", "needle").limit(MOST_SHORT + 1).collect()
     if len(short) > MOST_SHORT:
