@@ -63,9 +63,14 @@ def moment(recorded) -> Column:
     return F.try_to_timestamp(_c(recorded), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
 
 
+def is_over(until, now) -> Column:
+    """A lease ends at its time, that moment included; both are times, to the microsecond."""
+    return _c(until) <= _c(now)
+
+
 def is_expired(expires, now) -> Column:
-    """A lease ends at its time, that moment included."""
-    return moment(expires) <= _c(now)
+    """The same of a lease as it is recorded."""
+    return is_over(moment(expires), now)
 
 
 def renewed(sessions: DataFrame, now, ttl=None) -> DataFrame:
