@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import id_and_text, join_counted, new_path, parallelism, staged
-from foliant.llm.tokens import encoder, forget, gathered
+from foliant.llm.tokens import encoder, forget, forget_everywhere, gathered
 
 #: Chunks of 64 to 1024 ids, 256 or so on average.
 LEAST, MASK, MOST = 64, np.uint64(0xFF), 1024
@@ -164,7 +164,6 @@ def _encode(layout: Layout):
                 lens.append(array("H", map(sub, stops, starts)).tobytes())
                 data.append(own)
             yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), *(pa.array(x, k) for x, k in zip((np.diff(bounds), addrs, lens, data), schema.types[2:], strict=True))], schema=schema)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -262,6 +261,7 @@ def write_store(docs: DataFrame, layout: Layout, path: str | None = None, id_col
     path = path or new_path(spark, "token-store")
     source = id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
     streams = staged(source.mapInArrow(_encode(layout), _STAGED), "token-streams")
+    forget_everywhere(spark)
     refs = streams.select("doc_id", "rid", F.posexplode(_recipe()).alias("pos", "addr"))
     owners = refs.groupBy("addr").agg(F.min("rid").alias("owner"), F.max("rid").alias("last"), F.count("*").alias("n")).where("owner <> last")
     owners = staged(owners.drop("last"), "owners")

@@ -9,9 +9,11 @@ all are gathered in a few vector steps; only units that a worker has not met yet
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
+import time
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -20,6 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 _BY_ITSELF = re.compile(r"^\s|\s$|\s\s")
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -41,8 +44,21 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-#: Characters that are cut into units at a time.
-AT_ONCE = 4 << 20
+#: Characters that are cut into units at a time, and those that the library is given at a time:
+#: what it returns has a hundred bytes a token, all there until the last is read.
+AT_ONCE, ASK_AT_ONCE = 4 << 20, 1 << 17
+
+
+def parts_of(texts: list[str], most: int) -> list[list[str]]:
+    """Texts in a row, of ``most`` characters in all or a single text; an empty one counts as a character."""
+    parts, held = [], 0
+    for text in texts:
+        if not parts or held + len(text) > most:
+            parts.append([])
+            held = 0
+        parts[-1].append(text)
+        held += len(text) or 1
+    return parts
 
 
 class IdLists:
@@ -110,10 +126,11 @@ class UnitEncoder:
     def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in a row, and how many each has."""
         ids, lengths = array("I"), []
-        for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            own = e.ids
-            ids.extend(own)
-            lengths.append(len(own))
+        for part in parts_of(texts, ASK_AT_ONCE):
+            for e in self._tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                lengths.append(len(own))
         return np.array(ids, np.uint32), np.array(lengths, np.int64)
 
     def _ask_joined(self, texts: list[str], between: str, edge: np.ndarray, at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +214,7 @@ class UnitEncoder:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A few million characters at a time (one text at least), which bounds what is held besides the ids."""
-        parts, held = [[]], 0
-        for text in texts:
-            if held and held + len(text) > AT_ONCE:
-                parts.append([])
-                held = 0
-            parts[-1].append(text)
-            held += len(text)
-        found = [self._encode_part(p) for p in parts]
+        found = [self._encode_part(p) for p in parts_of(texts, AT_ONCE) or [[]]]
         before = np.cumsum([0, *(len(ids) for ids, _ in found[:-1])]).tolist()
         return np.concatenate([ids for ids, _ in found]), np.concatenate([ends + n for (_, ends), n in zip(found, before, strict=True)])
 
@@ -244,22 +254,52 @@ class UnitEncoder:
         return self.encode_all([text])[0]
 
 
+def _allocator(name: str, *values: int) -> None:
+    """A call of glibc's allocator; none where another library is in its place."""
+    call = getattr(ctypes.CDLL(None), name, None)
+    if call:
+        call(*values)
+
+
+def trim() -> None:
+    """Gives memory that nothing uses any more back to the system."""
+    pa.default_memory_pool().release_unused()
+    _allocator("malloc_trim", 0)
+
+
+#: Bytes from which an allocation is mapped by itself and unmapped when freed, for good: by default glibc
+#: raises this to 32 MB as it goes, and what is free between smaller pieces stays. -3 names this setting.
+_MMAP_THRESHOLD, MAPPED = -3, 1 << 20
+
+
+#: Batches put together after which a worker trims its memory.
+TRIM_EVERY = 4
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Batches put together until their texts have about ``most`` bytes: units that repeat are looked up once."""
-    own, held = [], 0
+    """Batches put together until their texts have about ``most`` bytes: units that repeat are looked up once.
+    What the steps in between leave unused is given back now and then, and at the end."""
+    own, held, given = [], 0, 0
     for batch in batches:
         own.append(batch)
         held += batch.column(column).nbytes
         if held >= most:
             yield pa.concat_batches(own)
-            own, held = [], 0
+            own, held, given = [], 0, given + 1
+            if given % TRIM_EVERY == 0:
+                trim()
     if own:
         yield pa.concat_batches(own)
+    own = batch = None
+    trim()
 
 
 @cache
 def encoder(path: str, keeps_space: bool) -> UnitEncoder:
-    """One per worker process, kept over its tasks."""
+    """One per worker process, kept over its tasks.  Arrow shares C's allocator there: two
+    allocators each keep what the other could use."""
+    _allocator("mallopt", _MMAP_THRESHOLD, MAPPED)
+    pa.set_memory_pool(pa.system_memory_pool())
     return UnitEncoder(path, keeps_space)
 
 
@@ -268,7 +308,22 @@ def forget() -> None:
     if encoder.cache_info().currsize:
         encoder.cache_clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()
+
+
+def forget_everywhere(spark: SparkSession) -> None:
+    """Idle workers forget too: what follows in the JVMs of a job needs the room of their encoders.
+
+    Short tasks, several a core, so that each worker gets some; one that gets none keeps its encoder.
+    """
+    n = 4 * spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        time.sleep(0.1)
+        yield from batches
+
+    spark.range(0, n, 1, n).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
 
 
 def vocabulary(name: str) -> str:

@@ -603,3 +603,41 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoder_asks_in_bounded_parts():
+    own, most = tokens.UnitEncoder(tokens.vocabulary("word_bpe_49k.json"), keeps_space=False), []
+
+    class Asked:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **rest):
+            most.append(sum(map(len, texts)))
+            return self.inner.encode_batch_fast(texts, **rest)
+
+    texts = [f"1{k}x{k}1 word{k}" for k in range(20_000)]
+    whole = [e.ids for e in own._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    own._tokenizer = Asked(own._tokenizer)
+    ids, ends = own.encode_batch(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == whole
+    assert max(most) <= tokens.ASK_AT_ONCE < sum(map(len, texts))
+    assert tokens.parts_of([], 3) == [] and tokens.parts_of(["ab", "c", "", "defgh", "i"], 3) == [["ab", "c", ""], ["defgh"], ["i"]] and tokens.parts_of(["", "a"], 3) == [["", "a"]]
+    assert own.encode_batch([])[1].tolist() == []
+
+
+def test_idle_workers_forget_encoders(spark):
+    import pyarrow as pa
+
+    def held(load):
+        def run(batches):
+            if load:
+                tokens.encoder(tokens.vocabulary("word_bpe_49k.json"), False)
+            for batch in batches:
+                yield pa.record_batch([pa.array([tokens.encoder.cache_info().currsize] * batch.num_rows, pa.int64())], names=["held"])
+
+        return {r["held"] for r in spark.range(0, 4, 1, 4).mapInArrow(run, "held long").collect()}
+
+    assert min(held(True)) > 0
+    tokens.forget_everywhere(spark)
+    assert held(False) == {0}
