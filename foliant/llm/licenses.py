@@ -9,8 +9,8 @@ of their sets of word bigrams.
 Pruning.  A coefficient of at least t needs |A| between |B| t / (2 - t) and
 |B| (2 - t) / t, so a unit meets only the templates in a list by its number of bigrams,
 and units with more distinct words than any list allows are dropped before their bigrams are
-made.  A licence names itself: texts and lines are looked at only if they hold one of ``KEYS``
-(or, for templates without any, their longest word).  Windows begin where one of up to
+made.  Texts and lines are looked at only if they hold one of some words, ``KEYS`` and as many
+more as no match can go without (``unit_keys``).  Windows begin where one of up to
 ``ANCHORS`` bigrams of a template with such a word, spread over it, stands in the text, less its place
 in the template.  Templates and lists are constants of the plan: there is no join and no
 shuffle.
@@ -98,6 +98,23 @@ def keys_of(templates: dict[str, str]) -> list[str]:
     return sorted({*KEYS, *(max(w, key=lambda x: (len(x), x)) for w in rest if w)})
 
 
+def unit_keys(grams: list[list[str]], threshold: float, keys: list[str]) -> list[str]:
+    """``keys`` and as many words more that every unit with a match holds one of them.
+
+    A match has ``needed`` bigrams of its template; so many never go without a key.  Words that
+    cover most of what does are added first, long ones before short ones.
+    """
+    found = list(keys)
+    for own in sorted(grams, key=len, reverse=True):
+        bare = [g for g in own if not any(k in g for k in found)]
+        while len(bare) >= needed(len(own), threshold):
+            words = sorted({w for g in bare for w in g.split(" ")})
+            best = max(words, key=lambda w: (sum(w in g for g in bare) * max(0, len(w) - 3), len(w), w))
+            found.append(best)
+            bare = [g for g in bare if best not in g]
+    return sorted(found)
+
+
 def anchors(text: str, keys: list[str], most: int = ANCHORS) -> list[tuple[str, int]]:
     """Bigrams that hold a key, with their first places in a template, spread over it; those that stand once if any do."""
     words = _words(text)
@@ -119,7 +136,7 @@ def _plan(templates: dict[str, str], threshold: float) -> tuple[list, dict[int,
     for k, (name, _) in enumerate(grams):
         for gram, place in anchors(templates[name], keys):
             at.setdefault(gram, []).append((k, place))
-    return grams, by_size, keys, at, [len(_words(templates[name])) for name, _ in grams]
+    return grams, by_size, unit_keys([own for _, own in grams], threshold, keys), at, [len(_words(templates[name])) for name, _ in grams]
 
 
 def _constant(value: object, kind: str) -> Column:

@@ -641,3 +641,23 @@ def test_idle_workers_forget_encoders(spark):
     assert min(held(True)) > 0
     tokens.forget_everywhere(spark)
     assert held(False) == {0}
+
+
+def test_units_without_a_plain_key_match(spark):
+    rows = ["released under the mit", "prose\nReleased under the MIT\nmore prose", "free and unencumbered released into the public domain", "nothing of the kind here"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("unit >= 0").collect()
+    sets = {n: set(licenses.bigrams_of(t)) for n, t in licenses.TEMPLATES.items()}
+    want = []
+    for k, text in enumerate(rows):
+        for unit, part in enumerate([text, *text.split("\n")]):
+            own = set(licenses.bigrams_of(part))
+            less, name = min((-2.0 * len(own & s) / (len(own) + len(s)), n) for n, s in sets.items())
+            if less <= -licenses.THRESHOLD:
+                want.append((k, unit, name))
+    assert sorted((r["doc_id"], r["unit"], r["license"]) for r in got) == want and {k for k, _, _ in want} >= {0, 1}
+
+
+def test_no_match_goes_without_a_key():
+    grams, _, keys, _, _ = licenses._plan(licenses.TEMPLATES, licenses.THRESHOLD)
+    for name, own in grams:
+        assert sum(not any(k in g for k in keys) for g in own) < licenses.needed(len(own), licenses.THRESHOLD), name
