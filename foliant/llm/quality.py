@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import id_and_text
-from foliant.llm.learn import fold, labelled_sample, logistic, probability
+from foliant.llm.learn import as_bytes, fold, labelled_sample, logistic, probability
 
 BLOCK, DICTIONARY, LEVEL = 4096, 48 << 10, 3
 #: Bounds of the labelled sample: rows of each label, bytes of a row.
@@ -49,8 +49,8 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
 
-    def features(self, text: str) -> tuple[float, ...]:
-        raw = text.encode()
+    def features(self, text: str | bytes) -> tuple[float, ...]:
+        raw = as_bytes(text)
         good, bad, plain = (sum(len(c.compress(raw[k : k + BLOCK])) for k in range(0, len(raw), BLOCK)) for c in self._compressors)
         return (bad - good) / plain, plain / len(raw), np.log(len(raw)), (bad - good) / plain * min(np.log(len(raw)), 9.0)
 
@@ -61,17 +61,17 @@ class Model:
         return out
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _dictionary(texts: list[str | bytes]) -> bytes:
     import zstandard
 
-    samples = [t.encode()[k : k + BLOCK] for t in texts for k in range(0, len(t.encode()), BLOCK)]
+    samples = [raw[k : k + BLOCK] for raw in map(as_bytes, texts) for k in range(0, len(raw), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:  # too few: the texts themselves serve as content
         return b"".join(samples)[:DICTIONARY]
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
+def fit(sample: list[tuple[str | bytes, int]]) -> Model:
     """From texts and labels; every other row builds the dictionaries, the rest calibrates."""
     sample = [(t, y) for t, y in sample if t]
     if not sample:

@@ -32,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 from math import log, prod
 from typing import NamedTuple
 
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import id_and_text
-from foliant.llm.learn import fold, labelled_sample, logistic, probability
+from foliant.llm.learn import as_text, fold, labelled_sample, logistic, probability
 
 #: Bounds of the labelled sample: rows of each label, bytes of a row.
 PER_CLASS, MOST_BYTES = 3000, 16 << 10
@@ -211,32 +212,54 @@ class Grammar:
         return probability(np.array([self.features(t) for t in texts]).reshape(-1, 3), self.weights)
 
 
-def learn_lexicon(sample: list[tuple[str, int]]) -> dict[str, float]:
-    """Log odds, document by document, of words and beginnings that are clearly toxic."""
-    counts, rows = {0: Counter(), 1: Counter()}, Counter()
-    for text, label in sample:
-        words = {w.lower() for w in re.findall(r"[^\W_]+", text)}
-        rows[label] += 1
-        counts[label].update(words | {w[:n] + "*" for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+#: Counters by hash that tell which words and beginnings can be frequent.
+_BUCKETS = 1 << 23
+
+
+def _words_and_beginnings(text: str | bytes) -> list[str]:
+    words = {w.lower() for w in re.findall(r"[^\W_]+", as_text(text))}
+    return list(words | {w[:n] + "*" for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+
+
+def _buckets(features: list[str]) -> np.ndarray:
+    return np.fromiter(map(hash, features), np.int64, len(features)) & (_BUCKETS - 1)
+
+
+def learn_lexicon(sample: list[tuple[str | bytes, int]]) -> dict[str, float]:
+    """Log odds, document by document, of words and beginnings that are clearly toxic.
+
+    Texts may be rich in words: only those are counted by name whose bucket is full enough,
+    which all are that stand in enough toxic documents."""
+    rows = Counter(label for _, label in sample)
     if not rows[0] or not rows[1]:
         return {w: 3.0 for w in INSULTS}
+    least, seen = max(4, 0.004 * rows[1]), np.zeros(_BUCKETS, np.uint32)
+    for text, label in sample:
+        if label == 1:
+            seen[np.unique(_buckets(_words_and_beginnings(text)))] += 1
+    often = seen >= least
+    often[_buckets(INSULTS)] = True
+    counts = {0: Counter(), 1: Counter()}
+    for text, label in sample:
+        own = _words_and_beginnings(text)
+        counts[label].update(compress(own, often[_buckets(own)].tolist()))
     out = {w: 3.0 for w in INSULTS if not counts[0][w]}
     for feature, n in counts[1].items():
-        if n >= max(4, 0.004 * rows[1]):
+        if n >= least:
             odds = log((n + 0.1) / rows[1]) - log((counts[0][feature] + 0.1) / rows[0])
             if odds > 2.5:
                 out[feature] = min(odds, 6.0)
     return out
 
 
-def fit(sample: list[tuple[str, int]]) -> Grammar:
+def fit(sample: list[tuple[str | bytes, int]]) -> Grammar:
     """The lexicon from every other row, the calibration from the rest; then the lexicon from all."""
     by = {y: [x for x in sample if x[1] == y] for y in (0, 1)}
     if min(len(by[0]), len(by[1])) < 8:
         return Grammar(learn_lexicon([]), np.array([1.0, 1.0, 0.0, -4.0]))
     first = Grammar(learn_lexicon(by[0][::2] + by[1][::2]), np.zeros(4))
     rest = by[0][1::2] + by[1][1::2]
-    weights = logistic(np.array([first.features(t) for t, _ in rest]), np.array([y for _, y in rest], float), ridge=1e-2)
+    weights = logistic(np.array([first.features(as_text(t)) for t, _ in rest]), np.array([y for _, y in rest], float), ridge=1e-2)
     return Grammar(learn_lexicon(sample), weights)
 
 

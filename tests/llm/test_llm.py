@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import cache
@@ -14,7 +15,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe_fst, licenses, media_gif, near_dedup, packing, quality, substring_dedup, token_store, tokens, topk, toxicity
+from foliant.llm import bpe_fst, learn, licenses, media_gif, near_dedup, packing, quality, substring_dedup, token_store, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, rid string, lang string"
 WORDS = [f"w{k}" for k in range(400)]
@@ -661,3 +662,40 @@ def test_no_match_goes_without_a_key():
     grams, _, keys, _, _ = licenses._plan(licenses.TEMPLATES, licenses.THRESHOLD)
     for name, own in grams:
         assert sum(not any(k in g for k in keys) for g in own) < licenses.needed(len(own), licenses.THRESHOLD), name
+
+
+def lexicon_by_hand(sample):
+    counts, rows = {0: Counter(), 1: Counter()}, Counter()
+    for text, label in sample:
+        words = {w.lower() for w in toxicity.re.findall(r"[^\W_]+", text)}
+        rows[label] += 1
+        counts[label].update(words | {w[:n] + "*" for w in words for n in range(4, min(len(w), 8) + 1)})
+    out = {w: 3.0 for w in toxicity.INSULTS if not counts[0][w]}
+    for feature, n in counts[1].items():
+        odds = math.log((n + 0.1) / rows[1]) - math.log((counts[0][feature] + 0.1) / rows[0])
+        if n >= max(4, 0.004 * rows[1]) and odds > 2.5:
+            out[feature] = min(odds, 6.0)
+    return out
+
+
+def test_lexicon_of_texts_rich_in_words(spark):
+    rnd = random.Random(5)
+    rich = lambda k: " ".join(f"{rnd.getrandbits(60):x}" for _ in range(1500)) + (f" you rotten{k % 3} blockhead" if k % 2 else " a fine fool")
+    sample = [(rich(k), k % 2) for k in range(120)]
+    tracemalloc.start()
+    got = toxicity.learn_lexicon([(t.encode(), y) for t, y in sample])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == lexicon_by_hand(sample) and {"blockhead", "rotten*", "rotten1"} <= set(got) and "fool" not in got
+    assert most < 80 << 20  # counters by hash take 32 MB; every word by name took well over 100
+
+
+def test_sample_reaches_the_driver_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k} ä" + "x" * (2000 * (k % 7 == 0))) for k in range(300)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    fetched, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: fetched.append((self.columns, rows := collect(self))) or rows)
+    got = learn.labelled_sample(docs, labels, "toxic", 20, 1000)
+    assert [len([t for t, y in got if y == label]) for label in (0, 1)] == [20, 20] and max(len(t) for t, _ in got) <= 1000
+    assert all(zlib.crc32(t.decode().split()[1].encode()) % 5 for t, _ in got)
+    assert [len(rows) for columns, rows in fetched if "text" in columns] == [40]
