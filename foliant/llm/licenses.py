@@ -9,8 +9,9 @@ of their sets of word bigrams.
 Pruning.  A coefficient of at least t needs |A| between |B| t / (2 - t) and
 |B| (2 - t) / t, so a unit meets only the templates in a list by its number of bigrams,
 and units with more distinct words than any list allows are dropped before their bigrams are
-made.  Texts and lines are looked at only if they hold one of some words, ``KEYS`` and as many
-more as no match can go without (``unit_keys``).  Windows begin where one of up to
+made.  Texts and lines are looked at only if they hold one of some words that no match can go
+without (``unit_words``; the SQL asks for parts of words, ``unit_keys``); it takes one pass over
+a text's words, whatever their number.  Windows begin where one of up to
 ``ANCHORS`` bigrams of a template with such a word, spread over it, stands in the text, less its place
 in the template.  Templates and lists are constants of the plan: there is no join and no
 shuffle.
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -115,6 +116,28 @@ def unit_keys(grams: list[list[str]], threshold: float, keys: list[str]) -> list
     return sorted(found)
 
 
+#: Words of any prose: they tell little, so others are asked for where those do.
+EVERYDAY = frozenset(
+    "a all an and any are as at be been by can de do does each for from had has have he here if in into is it its may mit must no not of on one only or other our "
+    "out own shall she so some such than that the their them then there these they this those to under up use used was we were what when where which who will with "
+    "work would you your".split()
+)
+
+
+def unit_words(grams: list[list[str]], threshold: float) -> list[str]:
+    """Words of which every unit with a match holds one: of each template, fewer bigrams are
+    without any than a match has.  Those that stand in most bigrams first."""
+    found: set[str] = set()
+    for own in sorted(grams, key=len):
+        bare = [g for g in (set(x.split(" ")) for x in own) if not g & found]
+        while len(bare) >= needed(len(own), threshold):
+            times = Counter(w for g in bare for w in g)
+            best = max(times, key=lambda w: (w not in EVERYDAY, times[w], len(w), w))
+            found.add(best)
+            bare = [g for g in bare if best not in g]
+    return sorted(found)
+
+
 def anchors(text: str, keys: list[str], most: int = ANCHORS) -> list[tuple[str, int]]:
     """Bigrams that hold a key, with their first places in a template, spread over it; those that stand once if any do."""
     words = _words(text)
@@ -147,21 +170,24 @@ def _constant(value: object, kind: str) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, unit (0 the whole text, n its n-th line, -1 a window), first_word (of a
     window, from 0), license, n_bigrams, common, dice."""
-    grams, by_size, key_words, at, sizes = _plan(templates or TEMPLATES, threshold)
+    grams, by_size, _, at, sizes = _plan(templates or TEMPLATES, threshold)
     most = max(by_size, default=0)
     known = _constant([{"license": name, "own": own} for name, own in grams], "array<struct<license:string,own:array<string>>>")
     allowed = _constant([by_size.get(n, []) for n in range(most + 1)], "array<array<int>>")
-    holds = lambda text: reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in key_words))
+    # a window's anchor holds a key in one of its words
+    anchored = {next(w for w in gram.split(" ") if any(k in w for k in keys_of(templates or TEMPLATES))) for gram in at}
+    asked = _constant(sorted({*unit_words([own for _, own in grams], threshold), *anchored}), "array<string>")
 
     # distinct bigrams of two words or more
     pairs = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda a, i: F.concat(a, F.lit(" "), F.get(w, i + 1))))
     plain = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n")
     # each explode also keeps what it makes from being made again by what follows
-    chosen = id_and_text(docs, id_col, text_col).where(holds(F.lower("text"))).select("doc_id", F.explode(F.array(plain)).alias("plain"))
-    # words of the whole text, then of its lines; null where no key stands
     split = lambda u: F.array_remove(F.split(u, " "), "")
-    of_lines = F.transform(F.split("plain", "\n"), lambda u: F.when(holds(u), split(u)))
-    units = chosen.select("doc_id", F.explode(F.array(F.concat(F.array(split(F.translate("plain", "\n", " "))), of_lines))).alias("u"))
+    plains = id_and_text(docs, id_col, text_col).select("doc_id", F.explode(F.array(plain)).alias("plain"))
+    chosen = plains.select("doc_id", "plain", F.explode(F.array(split(F.translate("plain", "\n", " ")))).alias("w")).where(F.arrays_overlap("w", asked))
+    # words of the whole text, then of its lines; null where none of the words asked for stands
+    of_lines = F.transform(F.transform(F.split("plain", "\n"), split), lambda u: F.when(F.arrays_overlap(u, asked), u))
+    units = chosen.select("doc_id", F.explode(F.array(F.concat(F.array("w"), of_lines))).alias("u"))
 
     # distinct words are at most one more than distinct bigrams: a cheaper bound than making those
     fits = lambda w: (F.size(w) > 1) & (F.size(F.array_distinct(w)) <= most + 1)

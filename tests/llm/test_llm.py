@@ -699,3 +699,20 @@ def test_sample_reaches_the_driver_alone(spark, monkeypatch):
     assert [len([t for t, y in got if y == label]) for label in (0, 1)] == [20, 20] and max(len(t) for t, _ in got) <= 1000
     assert all(zlib.crc32(t.decode().split()[1].encode()) % 5 for t, _ in got)
     assert [len(rows) for columns, rows in fetched if "text" in columns] == [40]
+
+
+def test_units_are_asked_for_words_that_no_match_lacks(spark):
+    grams = {n: licenses.bigrams_of(t) for n, t in licenses.TEMPLATES.items()}
+    words = set(licenses.unit_words(list(grams.values()), licenses.THRESHOLD))
+    for name, own in grams.items():
+        assert sum(not words & set(g.split(" ")) for g in own) < licenses.needed(len(own), licenses.THRESHOLD), name
+    # prose of everyday words, and parts of words, are passed over; they used to be looked at whole
+    assert not words & set("that under work other the of and is mit with another".split())
+    # what no match can lack is put greedily: units of all other bigrams match nothing, with one word asked for they may
+    least = {n: [g for g in own if not words & set(g.split(" "))] for n, own in grams.items()}
+    assert all(2 * len(g) / (len(g) + len(grams[n])) < licenses.THRESHOLD for n, g in least.items())
+    rows = [(1, "Licensed\tunder -- CC  BY 4.0"), (2, "under cc by 4 0"), (3, "\n\nunder\nthe mit license")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["unit"], r["license"]) for r in got if r["unit"] == 0} == {(1, 0, "CC-BY-4.0-line"), (2, 0, "CC-BY-4.0-line"), (3, 0, "MIT-line")}
+    assert licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {"the": "that is it"}).count() == 0
+    assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "That is it!")], "doc_id long, text string"), {"the": "that is it"}).where("unit = 0").collect()] == ["the"]
