@@ -8,8 +8,9 @@ of descending absolute impact over all dimensions; and after each of a few
 checkpoints in that order, by vector, the length of what the segments up to there
 leave of it.
 
-A block of queries is scored a segment at a time: every vector of a segment gains
-query component x middle of the impact.  What is still missing from a score is at
+A block of queries is scored in the order of the segments: every vector of a segment gains
+query component x middle of the impact.  The segments up to a checkpoint are added at once, as
+a product of the matrix of their postings with the queries.  What is still missing from a score is at
 most the query's length times the length left of the vector (Cauchy-Schwarz), so at a
 checkpoint each score has a lower and an upper bound.  The k-th largest lower bound,
 or the k-th best score of the tiles that the task has done before if that is larger,
@@ -19,7 +20,8 @@ exactly, ties to the smaller id.
 
 Queries meet the index through an equi-join on groups of tiles: both sides are dealt
 out by a hash, no side is broadcast, and tiles and blocks have a bounded number of
-rows.  Of each query and group k rows leave the task.
+rows.  A tile is sent once for each block of queries, so blocks are as large as a task can hold
+(``QUERY_VALUES`` components), and what is sent is packed: small integers as 16 bits.  Of each query and group k rows leave the task.
 
 Vectors that are null, hold null, NaN or infinite components (256 x included), or have
 another length than the query, take no part (with that query); nor does a null id.
@@ -42,8 +44,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import staged
 
 STEP, FEW = 4, 64
-#: Rows of a tile and of a block of queries, tiles that one task takes in a row, queries scored together.
-TILE_ROWS, QUERY_ROWS, GROUP, TOGETHER = 2048, 1024, 4, 256
+#: Rows of a tile, components of a block of queries, tiles that one task takes in a row, queries scored together.
+TILE_ROWS, QUERY_VALUES, GROUP, TOGETHER = 2048, 1 << 19, 4, 256
 #: Shares of the postings after which bounds are looked at.
 CHECKPOINTS = (0.4, 0.6, 0.75, 0.9, 1.0)
 #: Below this, sums of products of doubles that are integers are exact.
@@ -81,6 +83,18 @@ class Segments:
                 left.append(np.sqrt(np.square(np.where(done, vectors - middles, vectors)).sum(1)))
         return cls(dim[first].astype(np.int32), middles.ravel()[order][first], np.append(first, n).astype(np.int32), place[order].astype(np.int32), np.array(stops, np.int32), np.array(left))
 
+    def parts(self, width: int) -> Iterator[np.ndarray]:
+        """Vector by dimension: the middles of the postings between checkpoints; made when first asked for."""
+        made, rows = self.__dict__.setdefault("_parts", []), self.left.shape[1]
+        for k, stop in enumerate(self.stops.tolist()):
+            if k == len(made):
+                segments = slice(self.stops[k - 1] if k else 0, stop)
+                lengths = np.diff(self.starts[segments.start : stop + 1])
+                places = self.places[self.starts[segments.start] : self.starts[stop]]
+                made.append(np.zeros((rows, width)))
+                made[k][places, np.repeat(self.dims[segments], lengths)] = np.repeat(self.middles[segments], lengths)
+            yield made[k]
+
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products of integers held as doubles; Python's integers where doubles can't hold them."""
@@ -98,20 +112,19 @@ def candidates(index: Segments, vectors: np.ndarray, queries: np.ndarray, is_own
     most = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * queries.shape[1]
     if not most < _EXACT or len(vectors) <= k:
         return members
-    scores, weights, lengths = np.zeros(is_own.shape), np.ascontiguousarray(queries.T), np.sqrt(np.square(queries).sum(1))
-    done = 0
-    for stop, left in zip(index.stops.tolist(), index.left, strict=True):
-        for s in range(done, stop):
-            scores[index.places[index.starts[s] : index.starts[s + 1]]] += weights[index.dims[s]] * index.middles[s]
-        done = stop
+    # by query, as its scores then lie side by side
+    scores, weights, lengths, own = np.zeros(is_own.T.shape), np.ascontiguousarray(queries), np.sqrt(np.square(queries).sum(1)), np.ascontiguousarray(is_own.T)
+    for part, left in zip(index.parts(queries.shape[1]), index.left, strict=True):
+        scores += weights @ part.T
         # rounding of sums is far below one unit
-        room = left[:, None] * lengths * (1 + 1e-9) + 1
-        lower = np.where(is_own, -np.inf, scores - room)
-        threshold = np.maximum(np.partition(lower, len(vectors) - k, 0)[len(vectors) - k], least)
-        members = (scores + room >= threshold) & ~is_own
-        if members.sum(0).max(initial=0) <= FEW:
+        room = lengths[:, None] * left * (1 + 1e-9) + 1
+        lower = scores - room
+        lower[own] = -np.inf
+        threshold = np.maximum(np.partition(lower, len(vectors) - k, 1)[:, len(vectors) - k], least)
+        members = (scores + room >= threshold[:, None]) & ~own
+        if members.sum(1).max(initial=0) <= FEW:
             break
-    return members
+    return members.T
 
 
 class Best:
@@ -143,6 +156,15 @@ def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table["rid"].to_numpy(), table["vec_id"].to_numpy(), flat.reshape(-1, width)
 
 
+def _packed(values: np.ndarray) -> np.ndarray:
+    """Integers held as doubles or 32 bits, in 16 bits if all fit: ``_unpacked`` tells by the length."""
+    return values.astype("<i2") if np.abs(values).max(initial=0) < 2**15 else values
+
+
+def _unpacked(raw: bytes, n: int, wide: str) -> np.ndarray:
+    return np.frombuffer(raw, "<i2").astype(wide) if len(raw) == 2 * n else np.frombuffer(raw, wide)
+
+
 def _row(schema: list[str], values: list) -> pa.Table:
     return pa.table({name: pa.array([x.tobytes()], pa.binary()) if isinstance(x, np.ndarray) else pa.array([x], pa.int32()) for name, x in zip(schema, values, strict=True)})
 
@@ -151,12 +173,12 @@ def _tile(table: pa.Table) -> pa.Table:
     rids, ids, vectors = _rows(table)
     index = Segments.of(vectors)
     names = [x.split()[0] for x in _TILE.split(", ")]
-    return _row(names, [table["tile"][0].as_py(), vectors.shape[1], rids, ids, vectors, index.dims, index.middles, index.starts, index.places, index.stops, index.left])
+    return _row(names, [table["tile"][0].as_py(), vectors.shape[1], rids, ids, _packed(vectors), index.dims, index.middles, index.starts, _packed(index.places), index.stops, index.left])
 
 
 def _block(table: pa.Table) -> pa.Table:
     rids, ids, vectors = _rows(table)
-    return _row(["block", "width", "rids", "ids", "vectors"], [table["block"][0].as_py(), vectors.shape[1], rids, ids, vectors])
+    return _row(["block", "width", "rids", "ids", "vectors"], [table["block"][0].as_py(), vectors.shape[1], rids, ids, _packed(vectors)])
 
 
 def _read(batch: pa.RecordBatch, row: int, name: str, kind: str) -> np.ndarray:
@@ -178,13 +200,15 @@ def _search(k: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 width, key = batch.column("width")[row].as_py(), tuple(batch.column(c)[row].as_py() for c in ("width", "block", "grp"))
-                own, own_ids, queries = _read(batch, row, "q_rids", "<i8"), _read(batch, row, "q_ids", "<i8"), _read(batch, row, "q_vectors", "<f8").reshape(-1, width)
+                own, own_ids, queries = _read(batch, row, "q_rids", "<i8"), _read(batch, row, "q_ids", "<i8"), _unpacked(batch.column("q_vectors")[row].as_py(), batch.column("q_rids")[row].as_buffer().size // 8 * width, "<f8").reshape(-1, width)
                 if key != last:
                     if best:
                         yield give(best, ids_of)
                     last, best, ids_of = key, Best(own, k), dict(zip(own.tolist(), own_ids.tolist(), strict=True))
-                rids, ids, vectors = _read(batch, row, "rids", "<i8"), _read(batch, row, "ids", "<i8"), _read(batch, row, "vectors", "<f8").reshape(-1, width)
-                index = Segments(*(_read(batch, row, c, t) for c, t in (("dims", "<i4"), ("middles", "<f8"), ("starts", "<i4"), ("places", "<i4"), ("stops", "<i4"))), _read(batch, row, "left", "<f8").reshape(len(CHECKPOINTS), -1))
+                rids, ids, vectors = _read(batch, row, "rids", "<i8"), _read(batch, row, "ids", "<i8"), _unpacked(batch.column("vectors")[row].as_py(), batch.column("rids")[row].as_buffer().size // 8 * width, "<f8").reshape(-1, width)
+                places = _unpacked(batch.column("places")[row].as_py(), vectors.size, "<i4")
+                dims, middles, starts, stops = (_read(batch, row, c, t) for c, t in (("dims", "<i4"), ("middles", "<f8"), ("starts", "<i4"), ("stops", "<i4")))
+                index = Segments(dims, middles, starts, places, stops, _read(batch, row, "left", "<f8").reshape(len(CHECKPOINTS), -1))
                 for first in range(0, len(own), TOGETHER):
                     part, numbers = queries[first : first + TOGETHER], own[first : first + TOGETHER]
                     members = candidates(index, vectors, part, rids[:, None] == numbers[None, :], best.least(numbers), k)
@@ -209,7 +233,7 @@ def build_index(vectors: DataFrame, tiles: int) -> DataFrame:
     return staged(dealt.groupBy("tile", "width").applyInArrow(_tile, _TILE), "impact-index")
 
 
-def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, tile_rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS, group: int = GROUP) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, tile_rows: int = TILE_ROWS, query_rows: int | None = None, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by ``every``
     the k best of all others (all, if fewer)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(256 * x) != float("inf")))
@@ -220,7 +244,8 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, tile_rows: int = T
         .select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.size("embedding").alias("width"), F.transform("embedding", lambda x: _floor(256 * x)).alias("v"))
     )
     vectors = staged(vectors, "vectors")
-    n = vectors.select(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
+    n = vectors.select(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max("width").alias("width")).first()
+    query_rows = query_rows or max(1, QUERY_VALUES // (n["width"] or 1))
     tiles, blocks = max(1, -(-n["n"] // tile_rows)), max(1, -(-(n["q"] or 0) // query_rows))
     groups = -(-tiles // group)
     index = build_index(vectors, tiles).withColumn("grp", F.expr(f"tile div {group}").cast("int"))

@@ -716,3 +716,24 @@ def test_units_are_asked_for_words_that_no_match_lacks(spark):
     assert {(r["doc_id"], r["unit"], r["license"]) for r in got if r["unit"] == 0} == {(1, 0, "CC-BY-4.0-line"), (2, 0, "CC-BY-4.0-line"), (3, 0, "MIT-line")}
     assert licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {"the": "that is it"}).count() == 0
     assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "That is it!")], "doc_id long, text string"), {"the": "that is it"}).where("unit = 0").collect()] == ["the"]
+
+
+def test_index_is_sent_once_for_a_large_block_and_packed(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    vectors = np.floor(256 * rnd.uniform(-1, 1, (300, 16)))
+    index = topk.Segments.of(vectors)
+    parts = list(index.parts(16))
+    assert len(parts) == len(topk.CHECKPOINTS) and parts[0] is next(index.parts(16))
+    assert (np.abs(vectors - sum(parts)) <= topk.STEP / 2).all()  # every posting once, by its middle
+    left = np.cumsum(parts, 0)
+    assert np.allclose(index.left[0], np.sqrt(np.square(np.where(left[0] != 0, vectors - left[0], vectors)).sum(1)))
+    for values, size in ((vectors, 2), (vectors * 256, 8), (np.array([[-(2.0**15)]]), 8), (index.places, 2)):
+        raw = topk._packed(values).tobytes()
+        assert len(raw) == size * values.size and (topk._unpacked(raw, values.size, values.dtype.str) == values.ravel()).all()
+    # 1100 queries of 4 components were two blocks of 1024, each with its own copy of the index
+    df = spark.createDataFrame([(50 * k, [float(k % 7), 1.0, 0.5, -0.25]) for k in range(1100)], "vec_id long, embedding array<double>")
+    sent, search = [], topk.build_index
+    monkeypatch.setattr(topk, "build_index", lambda *a: sent.append(a) or search(*a))
+    found = topk.top_k(df)
+    assert found.count() == 5500 and len(sent) == 1
+    assert "sequence(0, 1)" not in (plan := found._jdf.queryExecution().logical().toString()) and "sequence(0, 0" in plan
