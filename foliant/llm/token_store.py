@@ -137,7 +137,7 @@ class Layout:
 
 _STAGED = "doc_id long, rid long, n_tokens long, addrs binary, lens binary, data binary"
 _PACKED = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, held array<int>, shared array<int>, data binary, root binary"
-_READ = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, shared array<int>, crcs array<long>, root binary"
+_READ = "doc_id long, rid long, pack int, seq long, n_tokens long, local_start long, addrs binary, lens binary, shared array<int>, crcs array<long>, whole long, root binary"
 
 
 def _types(ddl: str) -> pa.Schema:
@@ -212,6 +212,10 @@ def _pack(layout: Layout):
     return run
 
 
+#: In place of a chunk's CRC-32 that nothing asks for.
+UNASKED = -1
+
+
 def _check_held(layout: Layout):
     """Reads packs: every chunk held is checked against its address."""
 
@@ -219,21 +223,26 @@ def _check_held(layout: Layout):
         schema, width, crc32 = _types(_READ), layout.width, zlib.crc32
         forget()
         for batch in batches:
-            crcs = []
-            for doc_id, addrs, lens, held, data, root in _columns(batch, "doc_id", "addrs", "lens", "held", "data", "root"):
+            crcs, wholes = [], []
+            for doc_id, addrs, lens, held, common, data, root in _columns(batch, "doc_id", "addrs", "lens", "held", "shared", "data", "root"):
                 chunks, sizes = split_addresses(addrs), array("H", lens)
                 if merkle(chunks) != root:
                     raise ValueError(f"document {doc_id}: its recipe does not match its root")
-                own, at = [None] * len(chunks), 0
+                # a document that holds all its chunks has its sum at once; of these only shared ones need their own
+                complete, at = held == list(range(len(chunks))), 0
+                own, wanted = [UNASKED if complete else None] * len(chunks), set(common if complete else held)
                 wide, data = memoryview(np.frombuffer(data, layout.dtype).astype("<u4").tobytes()), memoryview(data)
                 for k in held:
                     end = at + sizes[k]
                     if address(data[width * at : width * end]) != chunks[k]:
                         raise ValueError(f"document {doc_id}: chunk {k} does not match its address")
-                    own[k] = crc32(wide[4 * at : 4 * end])
+                    if k in wanted:
+                        own[k] = crc32(wide[4 * at : 4 * end])
                     at = end
                 crcs.append(own)
-            yield pa.record_batch([pa.array(crcs, f.type) if f.name == "crcs" else batch.column(f.name) for f in schema], schema=schema)
+                wholes.append(crc32(wide[: 4 * at]) if complete else None)
+            made = {"crcs": crcs, "whole": wholes}
+            yield pa.record_batch([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
 
     return run
 
@@ -241,7 +250,10 @@ def _check_held(layout: Layout):
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crcs = []
-        for own, lens, rest in _columns(batch, "crcs", "lens", "rest"):
+        for own, lens, rest, whole in _columns(batch, "crcs", "lens", "rest", "whole"):
+            if whole is not None:
+                crcs.append(whole)
+                continue
             for x in rest or ():
                 own[x["pos"]] = x["crc"]
             if None in own:
@@ -333,7 +345,7 @@ def read_store(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
         read.drop("addrs", "root")
         .join(offsets, "pack")
         .join(rest, "rid", "left")
-        .select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "crcs", "lens", "rest", F.size("crcs").alias("n_chunks"), F.greatest(F.size("rest"), F.lit(0)).alias("n_elsewhere"))
+        .select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", F.when(F.col("whole").isNull(), F.col("crcs")).alias("crcs"), "lens", "rest", "whole", F.size("crcs").alias("n_chunks"), F.greatest(F.size("rest"), F.lit(0)).alias("n_elsewhere"))
         .mapInArrow(_fold, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, n_elsewhere int")
     )
 

@@ -737,3 +737,19 @@ def test_index_is_sent_once_for_a_large_block_and_packed(spark, monkeypatch):
     found = topk.top_k(df)
     assert found.count() == 5500 and len(sent) == 1
     assert "sequence(0, 1)" not in (plan := found._jdf.queryExecution().logical().toString()) and "sequence(0, 0" in plan
+
+
+def test_a_document_that_holds_its_chunks_is_summed_at_once():
+    layout = token_store.Layout("", False, 1)
+    ids = np.array([5, 6, 7, 8, 9], "<u2").tobytes()
+    chunks = [token_store.address(ids[:4]), token_store.address(ids[4:])]
+    row = {"doc_id": 1, "rid": 2, "pack": 0, "seq": 0, "n_tokens": 5, "local_start": 0, "addrs": b"".join(chunks), "lens": np.array([2, 3], "<u2").tobytes(), "held": [0, 1], "shared": [1], "data": ids, "root": token_store.merkle(chunks)}
+    read = lambda **x: next(token_store._check_held(layout)(iter([token_store.pa.RecordBatch.from_pylist([row | x], token_store._types(token_store._PACKED))]))).to_pylist()[0]
+    crc = lambda x: zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes())
+    whole, half = read(), read(held=[1], data=ids[4:])
+    assert (whole["whole"], whole["crcs"]) == (crc(ids), [token_store.UNASKED, crc(ids[4:])])
+    assert (half["whole"], half["crcs"]) == (None, [None, crc(ids[4:])])
+    with pytest.raises(ValueError, match="address"):
+        read(data=ids[:8] + b"\0\0")
+    fold = lambda x, rest: next(token_store._fold(iter([token_store.pa.RecordBatch.from_pylist([x | {"start": 0, "n_chunks": 2, "n_elsewhere": 0, "rest": rest}])]))).to_pylist()[0]["ids_crc32"]
+    assert fold(whole, [{"pos": 0, "crc": 0}]) == crc(ids) == fold(half, [{"pos": 0, "crc": crc(ids[:4])}])
